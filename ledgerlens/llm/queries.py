@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import exact_dedup, token_counts
+from ledgerlens.llm import exact_dedup, license_scan, mixing, token_counts
 
 
 def queries() -> dict:
     return {
+        "op2_license_scan": license_scan.op2_license_scan,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op7_mixing": mixing.op7_mixing,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {
+        "op2_license_scan": license_scan.ORACLE_SQL,
+        "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op7_mixing": mixing.ORACLE_SQL,
+    }
