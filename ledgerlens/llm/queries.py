@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import exact_dedup, license_scan, mixing, token_counts
+from ledgerlens.llm import exact_dedup, license_scan, mixing, secret_scan, token_counts, warc_store
 
 
 def queries() -> dict:
     return {
+        "op1_secret_scan": secret_scan.op1_secret_scan,
         "op2_license_scan": license_scan.op2_license_scan,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op7_mixing": mixing.op7_mixing,
+        "op9_warc": warc_store.op9_warc,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
@@ -19,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_license_scan": license_scan.ORACLE_SQL,
         "op5_exact_dedup": exact_dedup.ORACLE_SQL,
         "op7_mixing": mixing.ORACLE_SQL,
+        "op9_warc": warc_store.ORACLE_SQL,
     }
