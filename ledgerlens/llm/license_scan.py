@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import materialize, needed, text_or_empty
+from ledgerlens.llm.words import words_of
 from ledgerlens.sources.tables import table
 
 WINDOW, STRIDE, THRESHOLD = 64, 32, 0.9
@@ -51,15 +52,6 @@ NOTICES = [
 ]
 TEMPLATES = [*PHRASES, *NOTICES]
 
-#: Every byte that isn't part of a word becomes a space; A-Z become a-z. Bytes over 0x7F stay.
-_WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-
-
-def words_of(text: str) -> list[bytes]:
-    """Words as UTF-8: A-Z lower-cased, cut at every ASCII character but digits and letters."""
-    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
-
-
 def phrase_places(words: list[bytes], phrases: list[bytes]) -> list[list[int]]:
     """For each phrase, the word numbers at which its words stand one after the other."""
     joined = b" " + b" ".join(words) + b" "

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import exact_dedup, license_scan, mixing, secret_scan, token_counts, warc_store
+from ledgerlens.llm import decontamination, exact_dedup, license_scan, mixing, secret_scan, token_counts, toxicity, warc_store
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
         "op2_license_scan": license_scan.op2_license_scan,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op4_decontamination": decontamination.op4_decontamination,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op7_mixing": mixing.op7_mixing,
         "op9_warc": warc_store.op9_warc,
