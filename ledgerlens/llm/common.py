@@ -54,3 +54,15 @@ def needed(df: DataFrame, *columns: str) -> DataFrame:
         else:
             pick.append(F.lit(None).cast("bigint" if c.endswith("_id") else "string").alias(c))
     return flat.select(*pick)
+
+
+def broadcast_if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, marked for broadcast if it is counted to have few rows. For narrow tables of ids."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids (doc_id; nulls match nulls). The texts are
+    shuffled only where there are more ids than may be broadcast."""
+    gone = broadcast_if_small(materialize(ids.select(F.col("doc_id").alias("_gone_id")).distinct(), "gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")

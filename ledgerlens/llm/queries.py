@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import decontamination, exact_dedup, license_scan, mixing, secret_scan, token_counts, toxicity, warc_store
+from ledgerlens.llm import decontamination, exact_dedup, license_scan, mixing, ngram_join, pii, secret_scan, token_counts, toxicity, warc_store
 
 
 def queries() -> dict:
@@ -12,7 +12,9 @@ def queries() -> dict:
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_decontamination": decontamination.op4_decontamination,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_ngram_join": ngram_join.op6_ngram_join,
         "op7_mixing": mixing.op7_mixing,
+        "op8_pii": pii.op8_pii,
         "op9_warc": warc_store.op9_warc,
         "op10_token_counts": token_counts.op10_token_counts,
     }

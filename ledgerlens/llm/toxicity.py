@@ -96,8 +96,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     return np.array(found[0]["at"], np.int32), np.array(found[0]["w"], float), found[0]["b"]
 
 
-def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """docs and a column score. docs has a column text; all its columns are kept."""
+def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], name: str = "score") -> DataFrame:
+    """docs, which have a column text, and the score in a column of this name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 ** BITS weights
 
     @F.pandas_udf("double")
@@ -113,7 +113,7 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) ->
                 out[i] = w[np.unique(ids[weighs[ids]])].sum() + bias
             yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(out, -35, 35))))
 
-    return docs.withColumn("score", score(text_or_empty(F.col("text"))))
+    return docs.withColumn(name, score(text_or_empty(F.col("text"))))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -127,5 +127,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, with their columns."""
+    name = "_toxicity"
+    return score_texts(docs, train(docs, labels, max_train), name).where(F.col(name) < THRESHOLD).drop(name)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
