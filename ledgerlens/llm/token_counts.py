@@ -27,7 +27,7 @@ from ledgerlens.sources.tables import table
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
-MEMO_WORDS = 300_000
+MEMO_WORDS = 600_000
 LIMIT = 512
 
 _SPACE_RUN = re.compile(r"\s ")
@@ -46,8 +46,9 @@ class Counter:
         self.chunk, self.overlap = chunk_chars, overlap_chars
         self.memo: dict[str, int] = {}
 
-    def _encode(self, texts: list[str]) -> list:
-        return self.tokenizer.encode_batch(texts, add_special_tokens=False)
+    def _starts(self, text: str, at: int) -> list[int]:
+        """Where the text's tokens start, counted from at."""
+        return [at + a for a, _ in self.tokenizer.encode(text, add_special_tokens=False).offsets]
 
     def _lengths(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -73,44 +74,46 @@ class Counter:
         """Tokens of a long text, from overlapping chunks."""
         start, total = 0, 0
         end = min(len(text), start + self.chunk)
-        left = self._encode([text[start:end]])[0]
+        left = self._starts(text[start:end], start)
         while end < len(text):
             overlap = self.overlap
             while True:
                 begin = max(start, end - overlap)
                 stop = min(len(text), begin + self.chunk + overlap)
-                right = self._encode([text[begin:stop]])[0]
-                at = self._common(text, start, left, begin, right, end)
+                right = self._starts(text[begin:stop], begin)
+                at = self._common(text, left, right, begin, end)
                 if at is not None:
                     break
                 if begin == start:  # the overlap is all of the left chunk: encode on from its start
                     end = min(len(text), end + (end - start))
-                    left = self._encode([text[start:end]])[0]
+                    left = self._starts(text[start:end], start)
                     if end == len(text):
-                        return total + len(left.ids)
+                        return total + len(left)
                     overlap = self.overlap
                     continue
                 overlap *= 2
-            place, n_left, n_right = at
-            total += n_left
-            # Go on from the spliced place with the right chunk's tokens.
-            start, end = begin, stop
-            total -= n_right
-            left = right
-        return total + len(left.ids)
+            n_left, n_right = at
+            total += n_left - n_right  # from the spliced place on, the right chunk's tokens count
+            start, end, left = begin, stop, right
+        return total + len(left)
 
     @staticmethod
-    def _common(text: str, start: int, left, begin: int, right, end: int):
-        """The last stable boundary in the overlap where both have a token start; with the number
-        of tokens before it in either."""
-        lefts = {start + a: i for i, (a, _) in reversed(list(enumerate(left.offsets)))}
-        for i in range(len(right.offsets) - 1, -1, -1):
-            p = begin + right.offsets[i][0]
-            # the last character of the left chunk has no right context, so it proves nothing
-            if p <= begin or p >= end - 1 or text[p] != " " or text[p - 1].isspace():
+    def _common(text: str, left: list[int], right: list[int], begin: int, end: int) -> tuple[int, int] | None:
+        """The last stable boundary in the overlap at which both have a token start: the numbers of
+        tokens before it."""
+        from bisect import bisect_left
+
+        i = bisect_left(right, end - 1)  # the last character of the left chunk has no right context
+        while i > 0:
+            i -= 1
+            p = right[i]
+            if p <= begin:
+                return None
+            if text[p] != " " or text[p - 1].isspace() or right[i - 1] == p:
                 continue
-            if p in lefts and (i == 0 or begin + right.offsets[i - 1][0] < p):
-                return p, lefts[p], i
+            j = bisect_left(left, p)
+            if j < len(left) and left[j] == p:
+                return j, i
         return None
 
 
