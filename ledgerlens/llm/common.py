@@ -1,34 +1,18 @@
-"""What the text operators share: the shared scratch folder, written tables, small column helpers."""
+"""What the text operators share: written tables, small column helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.sources.scratch import new_folder
+
 #: ASCII white space as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
 #: The same as regular-expression text that is valid for a negated class.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; where that is unset
-    (tests, one machine) a temporary folder, kept for the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='ledgerlens-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, so that an executor
     lost later costs a reread and not a recomputation, and generated ids stay what they were."""

@@ -27,7 +27,8 @@ from ledgerlens.sources.tables import table
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
-MEMO_WORDS = 600_000
+MEMO_WORDS = 250_000
+SLICE_TEXTS = 256
 LIMIT = 512
 
 _SPACE_RUN = re.compile(r"\s ")
@@ -141,7 +142,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, chunk
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         counter = _counter(tokenizer_path, chunk_chars, overlap_chars)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": pd.Series(counter.counts(list(batch["text"])), dtype="int64")})
+            texts = list(batch["text"])
+            n = [c for i in range(0, len(texts), SLICE_TEXTS) for c in counter.counts(texts[i : i + SLICE_TEXTS])]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": pd.Series(n, dtype="int64")})
 
     texts = needed(docs, "doc_id", "text").select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
     kind = needed(docs, "doc_id").schema["doc_id"].dataType
