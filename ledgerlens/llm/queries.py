@@ -22,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_secret_scan": secret_scan.ORACLE_SQL,
         "op2_license_scan": license_scan.ORACLE_SQL,
         "op5_exact_dedup": exact_dedup.ORACLE_SQL,
         "op7_mixing": mixing.ORACLE_SQL,

@@ -206,3 +206,79 @@ def secret_scan(docs: DataFrame, q: float = Q) -> DataFrame:
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    anyhow = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+    words = "|".join(anyhow(w) for w in ("password", "passwd", "secret", "token")) + "|" + anyhow("api") + "_?" + anyhow("key")
+    patterns = [
+        ("assign", rf"""((?:{words})["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)""", r"\1' || chr(2) || '\2"),
+        ("access", ACCESS, r"\1"),
+        ("hex", HEX, r"\1"),
+        ("tokens", r"([A-Za-z0-9+/_-]{20,}={0,2})", r"\1"),
+    ]
+    parts = " UNION ALL ".join(
+        f"SELECT doc_id, '{kind}' AS kind, {i} AS kind_no, string_split(regexp_replace(t, '{pattern}', chr(1) || '{to}' || chr(1), 'g'), chr(1)) AS parts FROM texts" for i, (kind, pattern, to) in enumerate(patterns)
+    )
+    alphabet = "CASE encoding " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALPHABETS.items()) + " END"
+    band = "CASE " + " ".join(f"WHEN n >= {least} THEN {i}" for i, least in reversed(list(enumerate(BANDS)))) + " ELSE 0 END"
+    fit = "0.17087277::DOUBLE"
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368):
+        fit = f"({fit} * q + ({c}))"
+    return rf"""
+WITH texts AS (
+  SELECT doc_id, replace(replace(coalesce(text, ''), chr(1), chr(3)), chr(2), chr(3)) AS t FROM documents
+), parts AS ({parts}), lens AS (
+  SELECT *, list_transform(parts, lambda p: length(replace(p, chr(2), ''))) AS lens FROM parts WHERE len(parts) > 1
+), found AS (
+  SELECT doc_id, kind, kind_no, coalesce(list_sum(lens[1:i - 1]), 0)::BIGINT AS s, coalesce(list_sum(lens[1:i]), 0)::BIGINT AS e, string_split(parts[i], chr(2))[-1] AS v
+  FROM (SELECT *, unnest(range(2, len(parts) + 1, 2)) AS i FROM lens)
+), base AS (
+  SELECT * FROM found WHERE kind <> 'tokens' AND (kind <> 'assign' OR length(v) >= 6)
+), token0 AS (
+  SELECT doc_id, s, e, rtrim(v, '=') AS tok FROM found f WHERE kind = 'tokens' AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.s < f.e AND f.s < b.e)
+), token1 AS (
+  SELECT *, regexp_matches(tok, '[0-9]') AND regexp_matches(tok, '[A-Za-z]') AS mixed FROM token0
+), token2 AS (
+  SELECT doc_id, s, e, tok, length(tok)::DOUBLE AS n,
+    CASE WHEN NOT regexp_matches(tok, '[^0-9]') THEN NULL WHEN mixed AND NOT regexp_matches(tok, '[^0-9a-f]') THEN 'hex' WHEN mixed AND NOT regexp_matches(tok, '[^0-9A-F]') THEN 'hex_upper'
+         WHEN mixed AND NOT regexp_matches(tok, '[^A-Z2-7]') THEN 'base32' WHEN NOT regexp_matches(tok, '[^A-Za-z0-9]') THEN 'base62' WHEN NOT regexp_matches(tok, '[^A-Za-z0-9+/]') THEN 'base64'
+         WHEN NOT regexp_matches(tok, '[^A-Za-z0-9_-]') THEN 'base64url' END AS encoding FROM token1
+), token3 AS (
+  SELECT *, {alphabet} AS alphabet FROM token2 WHERE encoding IS NOT NULL
+), token4 AS (
+  SELECT *, length(alphabet)::DOUBLE AS k, list_transform(string_split(tok, ''), lambda c: (instr(alphabet, c) - 1)::DOUBLE) AS codes,
+    list_sum(list_transform(string_split(alphabet, ''), lambda c: pow(n - length(replace(tok, c, '')), 2))) * length(alphabet) / n - n AS chi2 FROM token3
+), token5 AS (
+  SELECT *, list_sum(list_transform(codes, lambda c: CASE WHEN c * 2 >= k THEN 1.0::DOUBLE ELSE 0 END)) AS n1, list_sum(codes) / n AS mean,
+    1 + list_sum(list_transform(range(2, len(codes) + 1), lambda i: CASE WHEN (codes[i] * 2 >= k) <> (codes[i - 1] * 2 >= k) THEN 1.0::DOUBLE ELSE 0 END)) AS runs FROM token4
+), token6 AS (
+  SELECT *, 2 * n1 * (n - n1) / n + 1 AS mean_runs, list_sum(list_transform(codes, lambda c: (c - mean) * (c - mean))) AS dev2,
+    list_sum(list_transform(range(2, len(codes) + 1), lambda i: (codes[i - 1] - mean) * (codes[i] - mean))) AS cov, 2.0::DOUBLE / ((k - 1) * 9) AS spread FROM token5
+), zs AS (
+  SELECT doc_id, s, e, n, [(pow(chi2 / (k - 1), 1.0::DOUBLE / 3) - (1 - spread)) / sqrt(spread),
+    abs(CASE WHEN n1 > 0 AND n1 < n AND (mean_runs - 1) * (mean_runs - 2) / (n - 1) > 0 THEN (runs - mean_runs) / sqrt((mean_runs - 1) * (mean_runs - 2) / (n - 1)) ELSE 40 END),
+    abs(CASE WHEN dev2 > 0 THEN (cov / dev2 + 1 / n) * sqrt(n) ELSE 40 END)] AS z FROM token6
+), qs AS (
+  SELECT doc_id, s, e, n, i, z[i] AS z, abs(z[i]) / sqrt(2.0::DOUBLE) AS x, 1 / (1 + abs(z[i]) / sqrt(2.0::DOUBLE) * 0.5) AS q FROM zs, (VALUES (1), (2), (3)) AS w(i)
+), ps AS (
+  SELECT doc_id, s, e, n, least(1, min((CASE WHEN i = 1 THEN 1 ELSE 2 END) * CASE WHEN z >= 0 THEN h ELSE 1 - h END) * 3) AS p FROM (SELECT *, q * exp(-x * x - 1.26551223 + q * {fit}) / 2 AS h FROM qs) GROUP BY 1, 2, 3, 4
+), tested AS (
+  SELECT doc_id, s, e, {band} AS band, least({BINS - 1}, floor(-ln(greatest(p, 1e-300)) * {BINS_PER_E}))::INTEGER AS bin FROM ps
+), counts AS (
+  SELECT band, bin, count(*) AS c FROM tested GROUP BY 1, 2
+), ranked AS (
+  SELECT band, bin, sum(c) OVER (PARTITION BY band ORDER BY bin DESC) AS r, sum(c) OVER (PARTITION BY band) AS m FROM counts
+), bars AS (
+  SELECT band, min(bin) AS bar FROM ranked WHERE exp(-bin / {float(BINS_PER_E)}::DOUBLE) <= {Q} * r / m GROUP BY 1
+), spans AS (
+  SELECT doc_id, kind, kind_no, s, e FROM base UNION ALL SELECT doc_id, 'random', 3, s, e FROM tested LEFT JOIN bars USING (band) WHERE bar IS NULL OR bin < bar
+), listed AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS h,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_no) FILTER (kind <> 'random') AS base_list, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_no) AS all_list FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base_list, '')) AS base_sha256, coalesce(all_list, '') AS spans FROM documents d LEFT JOIN listed USING (doc_id)
+"""
+
+
+ORACLE_SQL = _oracle()

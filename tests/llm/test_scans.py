@@ -130,3 +130,19 @@ def test_personal_data(spark, empty):
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "write a@b.cd now"), (2, "nothing"), (3, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in pii.redacted(df).collect()} == {1: "write [email] now", 2: "nothing", 3: ""}
+
+
+def test_battery_equals_sql(spark, same_rows):
+    import duckdb
+    import pandas as pd
+
+    r = random.Random(8)
+    alphabets = list(secret_scan.ALPHABETS.values())
+    texts = [f"a {''.join(r.choice(a) for _ in range(r.randint(18, 90)))}={'=' * (i % 2)} b" for i in range(300) for a in [r.choice(alphabets)]]
+    texts += ["see " + "".join(r.choice(["the", "ing", "and", "tion", "Er"]) for _ in range(r.randint(6, 12))) for _ in range(300)] + [t for t in SECRET_TEXTS if t is not None]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    got = secret_scan.secret_scan(spark.createDataFrame(documents)).toPandas()
+    assert got["spans"].str.contains("random").sum() > 200
+    same_rows(got, con.sql(secret_scan.ORACLE_SQL).df())
