@@ -14,7 +14,8 @@ keys. Nodes near the lower end of a band also take part in the band below.
 A key's nodes are never paired with each other. In the first round each is paired with the key's
 least node only; pairs are verified (Hamming bound on a sketch of the whole set, then the sets) and
 links merge nodes into components. In the second round, nodes of one key that are still in
-different components are compared. Every pair that links shares a key, so it is in one component
+different components are compared by their sketches within the join, which gives only pairs that the
+Hamming bound allows. Every pair that links shares a key, so it is in one component
 after the first round or compared in the second: no link between components is lost.
 """
 
@@ -28,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialize, needed, text_or_empty
+from ledgerlens.llm.common import broadcast_if_small, materialize, needed, text_or_empty
 from ledgerlens.llm.components import components
 from ledgerlens.llm.words import grams, hashes, mixed, spaced_words
 from ledgerlens.sources.tables import table
 
 SHINGLE, PERCENT = 4, 85
-#: Nodes up to which their list is broadcast (8 bytes each) to pick out their texts.
-MOST_BROADCAST = 2_000_000
+#: Bits of the sketches that are compared inside a join.
+FOLD_BITS = 1024
 
 
 def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -110,6 +111,12 @@ def sketch_of(s: np.ndarray) -> bytes:
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
 
+def fold_of(s: np.ndarray) -> np.ndarray:
+    """Parity sketch of FOLD_BITS bits, as 64-bit words."""
+    flips = np.bincount(((s >> np.uint64(8)) % np.uint64(FOLD_BITS)).astype(np.int64), minlength=FOLD_BITS) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def hamming(a: bytes, b: bytes) -> int:
     """Distance of two sketches, the longer folded."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -125,24 +132,25 @@ def _node(s: np.ndarray, salt: int) -> int:
 
 
 def _sets(texts: DataFrame, salt: int, shingle: int) -> DataFrame:
-    """doc_id, n, node, node_key (128 bits, to see that no two sets share a node), sketch."""
+    """doc_id, text_hash, n, node, node_key (128 bits, to see that no two sets share a node), sketch, fold."""
     kind = dict(texts.dtypes)["doc_id"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, key, sketch = [], [], [], []
+            n, node, key, sketch, fold = [], [], [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), shingle)
                 n.append(len(s))
                 node.append(_node(s, salt) if len(s) else None)
                 key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sketch.append(sketch_of(s) if len(s) else None)
+                fold.append(fold_of(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())],
-                names=["doc_id", "n", "node", "node_key", "sketch"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), pa.array(fold, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n", "node", "node_key", "sketch", "fold"],
             )
 
-    return texts.mapInArrow(read, f"doc_id {kind}, n long, node long, node_key binary, sketch binary")
+    return texts.mapInArrow(read, f"doc_id {kind}, text_hash long, n long, node long, node_key binary, sketch binary, fold array<long>")
 
 
 def _keys(texts: DataFrame, salt: int, shingle: int, percent: int) -> DataFrame:
@@ -215,45 +223,25 @@ def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return sized.select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(near, "u long, v long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, salt: int, shingle: int, percent: int) -> DataFrame:
-    """Of close pairs (u, v), a written table, those whose sets link."""
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    count = wanted.limit(MOST_BROADCAST + 1).count()
-    if not count:
-        return pairs
-    few = count <= MOST_BROADCAST
-    listed = np.sort(np.array([r[0] for r in wanted.collect()], np.int64)) if few else None
-    shared = pairs.sparkSession.sparkContext.broadcast(listed)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if shared.value is None else set(shared.value.tolist())
-        seen = set()
-        for batch in batches:
-            nodes, keep = [], []
-            for i, text in enumerate(batch.column("text")):
-                s = shingle_set(text.as_py(), shingle)
-                node = _node(s, salt) if len(s) else None
-                if node is not None and node not in seen and (known is None or node in known):
-                    seen.add(node)
-                    nodes.append(node)
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column("text").take(pa.array(keep, pa.int64()))], names=["node", "text"])
-
-    chosen = texts.select("text").mapInArrow(pick, "node long, text string").dropDuplicates(["node"])
-    chosen = materialize(chosen if few else chosen.join(wanted, "node", "left_semi"), "join-texts")
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, salt: int, shingle: int, percent: int) -> DataFrame:
+    """Of close pairs (u, v), a written table, those whose sets link. A node's text is found by its
+    hash; a text of that hash but another set is left out when it is compared."""
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "text_hash"), "node")
+    wanted = materialize(wanted, "join-wanted")
+    chosen = materialize(texts.join(broadcast_if_small(wanted), "text_hash").select("node", "text").distinct(), "join-texts")
     both = pairs.join(chosen.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(chosen.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_text, last_set = None, None
         for batch in batches:
             ok = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+            for u, v, a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
                 a = a.as_py()
                 if a != last_text:
                     last_text, last_set = a, shingle_set(a, shingle)
                 other = shingle_set(b.as_py(), shingle)
                 inside = len(np.intersect1d(last_set, other, assume_unique=True))
-                ok.append(100 * inside >= percent * (len(last_set) + len(other) - inside))
+                ok.append(100 * inside >= percent * (len(last_set) + len(other) - inside) and _node(last_set, salt) == u and _node(other, salt) == v)
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return materialize(both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "join-links")
@@ -266,10 +254,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     own doc_id. A null doc_id is never the smallest unless all of its component are null, and then
     component_id is null. Repeated rows are documents like others, and share a component. An empty
     table gives no rows; further columns are ignored. Sets hold 64-bit hashes of shingles."""
-    texts = needed(docs, "doc_id", "text").select("doc_id", text_or_empty(F.col("text")).alias("text"))
+    texts = needed(docs, "doc_id", "text").select("doc_id", text_or_empty(F.col("text")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     for salt in range(9):
         rows = materialize(_sets(texts, salt, shingle), "join-sets")
-        nodes = rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("node_key").alias("least"), F.max("node_key").alias("greatest"))
+        nodes = rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("fold").alias("fold"), F.min("text_hash").alias("text_hash"), F.min("node_key").alias("least"), F.max("node_key").alias("greatest"))
         nodes = materialize(nodes, "join-nodes")
         if nodes.where("least <> greatest").isEmpty():
             break  # no two sets share a node
@@ -279,23 +267,27 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     # First round: each node of a key with the key's center.
     stars = buckets.where("center <> node").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
-    links = _verified(materialize(_close(stars, nodes, percent), "join-close"), texts, salt, shingle, percent)
+    links = _verified(materialize(_close(stars, nodes, percent), "join-close"), nodes, texts, salt, shingle, percent)
     merged = materialize(components(links), "join-components")
 
     # Second round: nodes of a key in different components.
     placed = buckets.join(merged, "node", "left").select("key", "center", "node", F.coalesce("component", "node").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    left = materialize(placed.join(open_keys, "key", "left_semi").join(nodes.select("node", "n"), "node"), "join-open")
-    x = left.select("key", F.col("node").alias("u"), F.col("component").alias("c"), F.col("center"), F.col("n").alias("n_u"))
-    y = left.select("key", F.col("node").alias("v"), F.col("component").alias("e"), F.col("n").alias("n_v"))
-    across = (
-        x.join(y, "key")
-        .where("c < e and u <> center and v <> center")
-        .where((F.col("n_u") * percent <= F.col("n_v") * 100) & (F.col("n_v") * percent <= F.col("n_u") * 100))
-        .select("u", "v")
-        .distinct()
+    left = materialize(placed.join(open_keys, "key", "left_semi").join(nodes.select("node", "n", "fold"), "node"), "join-open")
+    x = left.select("key", F.col("node").alias("u"), F.col("component").alias("c"), F.col("center"), F.col("n").alias("n_u"), F.col("fold").alias("f_u"))
+    y = left.select("key", F.col("node").alias("v"), F.col("component").alias("e"), F.col("n").alias("n_v"), F.col("fold").alias("f_v"))
+    apart = F.aggregate(F.zip_with("f_u", "f_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, d: t + d)
+    close = (
+        (x["key"] == y["key"])
+        & (F.col("c") < F.col("e"))
+        & (F.col("u") != F.col("center"))
+        & (F.col("v") != F.col("center"))
+        & (F.col("n_u") * percent <= F.col("n_v") * 100)
+        & (F.col("n_v") * percent <= F.col("n_u") * 100)
+        & (apart * (100 + percent) <= (F.col("n_u") + F.col("n_v")) * (100 - percent))
     )
-    more = _verified(materialize(_close(across, nodes, percent), "join-close"), texts, salt, shingle, percent)
+    across = x.join(y, close).select("u", "v").distinct()
+    more = _verified(materialize(_close(across, nodes, percent), "join-close"), nodes, texts, salt, shingle, percent)
     if not more.isEmpty():
         label = lambda x: merged.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
         lifted = more.join(label("u"), "u", "left").join(label("v"), "v", "left").select(F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v"))
