@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +22,11 @@ def local_session(app: str, cpus: int | None = None, partitions: int = 8) -> Spa
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def share_library(spark: SparkSession) -> None:
+    """Let Python workers find this library where it is run from its folder and not installed."""
+    home, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in known:
+        env["PYTHONPATH"] = os.pathsep.join([home, *known])
