@@ -11,8 +11,8 @@ one difference; a piece is dealt into three parts, of which one difference leave
 that link share the sketches of two parts of some piece (pigeonhole). These sketches are the join
 keys. Nodes near the lower end of a band also take part in the band below.
 
-A key's nodes are never paired with each other. In the first round each is paired with the key's
-least node only; pairs are verified (Hamming bound on a sketch of the whole set, then the sets) and
+A key's nodes are not all paired with each other. In the first round each is paired only with the
+key's center, that of its nodes which is in most keys; pairs are verified (Hamming bound on a sketch of the whole set, then the sets) and
 links merge nodes into components. In the second round, nodes of one key that are still in
 different components are compared by their sketches within the join, which gives only pairs that the
 Hamming bound allows. Every pair that links shares a key, so it is in one component
@@ -176,8 +176,8 @@ def _keys(texts: DataFrame, salt: int, shingle: int, percent: int) -> DataFrame:
 
 
 def _shared(sorted_keys: DataFrame) -> DataFrame:
-    """Of rows key, node in order within partitions by key: key, center (its least node) and node,
-    for keys of two nodes and more. Holds one batch and the last key's first row."""
+    """Of rows key, node in order within partitions by key: those of keys with two nodes and more,
+    each once. Holds one batch and the last key's first row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key = held_node = last_node = None
@@ -194,19 +194,19 @@ def _shared(sorted_keys: DataFrame) -> DataFrame:
             if held_key is not None and len(key) > 1 and not first[1] and node[1] == last_node:
                 new[1] = False
             run = np.cumsum(first) - 1
-            center = node[np.flatnonzero(first)][run]
-            other = new & ~first  # a node of a key that isn't its center
+            least = node[np.flatnonzero(first)][run]
+            other = new & ~first  # a node of a key that isn't its least
             if held_key is not None:
-                other &= node != center
+                other &= node != least
             several = np.bincount(run, weights=other, minlength=run[-1] + 1) > 0
             out = several[run] & (other | first)
             if held_key is not None and held_out:
                 out[0] = False
             last_held_out = bool(several[-1]) or (run[-1] == 0 and held_out)
-            held_key, held_node, last_node, held_out = key[-1], center[-1], node[-1], last_held_out
-            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(center[out]), pa.array(node[out])], names=["key", "center", "node"])
+            held_key, held_node, last_node, held_out = key[-1], least[-1], node[-1], last_held_out
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(node[out])], names=["key", "node"])
 
-    return sorted_keys.mapInArrow(read, "key long, center long, node long")
+    return sorted_keys.mapInArrow(read, "key long, node long")
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -265,7 +265,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     keys = _keys(texts, salt, shingle, percent).select("node", F.explode("keys").alias("key"))
     buckets = materialize(_shared(keys.repartition("key").sortWithinPartitions("key", "node").select("key", "node")), "join-buckets")
 
-    # First round: each node of a key with the key's center.
+    # First round: each node of a key with the key's center, the node that is in most keys.
+    keyed = materialize(buckets.join(buckets.groupBy("node").agg(F.count("*").alias("keys")), "node"), "join-keyed")
+    centers = keyed.groupBy("key").agg(F.max(F.struct("keys", "node")).alias("most")).select("key", F.col("most.node").alias("center"))
+    buckets = materialize(keyed.join(centers, "key").select("key", "center", "node"), "join-starred")
     stars = buckets.where("center <> node").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
     links = _verified(materialize(_close(stars, nodes, percent), "join-close"), nodes, texts, salt, shingle, percent)
     merged = materialize(components(links), "join-components")
