@@ -25,6 +25,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_secret_scan": secret_scan.ORACLE_SQL,
         "op2_license_scan": license_scan.ORACLE_SQL,
         "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op6_ngram_join": ngram_join.ORACLE_SQL,
         "op7_mixing": mixing.ORACLE_SQL,
         "op9_warc": warc_store.ORACLE_SQL,
     }
