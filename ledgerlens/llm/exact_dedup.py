@@ -6,12 +6,11 @@ until each document has one name. Two documents have the same (block count, name
 their normalised texts are identical.
 
 At the block level the sort key is (64-bit fingerprint, content). A fingerprint that occurs in one
-place needs no content beside it: blocks that differ in fingerprint differ. Content is gathered,
-made distinct before its shuffle, and ranked only under fingerprints that occur more than once,
-so that two blocks with one fingerprint still get two names. Names are hence free of collisions
-while only repeated blocks' text is shuffled, once per task that holds them.
+place needs no content beside it: blocks that differ in fingerprint differ. Contents are made
+distinct before their shuffle, and ranked under fingerprints that occur more than once, so that two
+blocks with one fingerprint still get two names and names are free of collisions.
 
-Shuffles carry integers; hot names (one block in a third of all rows) are met by map-side partial
+All other shuffles carry integers; hot names (one block in a third of all rows) are met by map-side partial
 aggregation on the naming side and, as both sides of each join back are read from written tables,
 by Spark's skew join on the other. Everything is DataFrame operations.
 """
