@@ -210,3 +210,15 @@ def test_without_matches_nulls(spark):
     d = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "doc_id long, text string")
     gone = spark.createDataFrame([(None,), (2,), (2,)], "doc_id long")
     assert [r.text for r in without(d, gone).collect()] == ["a"]
+
+
+def test_pipeline_drops_near_copies_of_five_words_and_80_percent(spark):
+    import corpus_pipeline as P
+    from tests.llm.conftest import passage
+
+    words = passage(80, 240).split()
+    a, b = " ".join(words), " ".join("zz" + w if i in (40, 90, 140, 190, 220) else w for i, w in enumerate(words))
+    jaccard = lambda k: len(shingles(a, k) & shingles(b, k)) / len(shingles(a, k) | shingles(b, k))
+    assert jaccard(4) < 0.85 and jaccard(5) >= 0.8
+    docs = spark.createDataFrame([(1, a), (2, b), (3, passage(81, 240))], "doc_id long, text string")
+    assert {r.doc_id for r in P.drop_near_copies(spark, docs, None).collect()} == {1, 3}
