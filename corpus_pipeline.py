@@ -2,6 +2,8 @@
 
 Toxic documents go; of equal texts, and then of near duplicates, the document with the smallest
 doc_id stays; documents that hold benchmark passages go; what is left is mixed to target weights.
+Rows are told apart by a row id that each of the stages between gives its input, so rows with a null
+or repeated doc_id are dropped one by one; of a group exactly one row stays (nulls last, then row id).
 All stages but the last return the columns of documents.
 """
 
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialize, without
+from ledgerlens.llm.common import ROW, all_but_first, by_row, materialize, numbered, without_rows
 from ledgerlens.llm.decontamination import contaminated
 from ledgerlens.llm.exact_dedup import exact_dedup
 from ledgerlens.llm.mixing import mix
@@ -24,16 +26,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, exact_dedup(docs).where(~F.col("kept")))
+    rows = numbered(docs, "copies-input")
+    copies = exact_dedup(by_row(rows)).where(~F.col("kept"))
+    return without_rows(rows, all_but_first(rows, copies.select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group"))))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five words and 0.8 here; op6 by itself takes four and 0.85."""
-    return without(docs, near_duplicates(docs, shingle=5, percent=80).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    rows = numbered(docs, "near-copies-input")
+    copies = near_duplicates(by_row(rows), shingle=5, percent=80).where(F.col("doc_id") != F.col("component_id"))
+    return without_rows(rows, all_but_first(rows, copies.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group"))))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+    rows = numbered(docs, "contaminated-input")
+    return without_rows(rows, contaminated(by_row(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(ROW)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,35 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     shuffled only where there are more ids than may be broadcast."""
     gone = broadcast_if_small(materialize(ids.select(F.col("doc_id").alias("_gone_id")).distinct(), "gone"))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
+
+
+#: The column of row ids that a pipeline stage gives its rows.
+ROW = "_row_id"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a row id, written once so that every later read has the same ids."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """What an operator reads of numbered rows: the row id in the place of doc_id, and the text."""
+    return needed(rows, ROW, "text").select(F.col(ROW).alias("doc_id"), "text")
+
+
+def without_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Numbered rows less those whose row id is in gone, with the columns they had before numbering.
+    The texts are shuffled only where there are more ids than may be broadcast."""
+    ids = broadcast_if_small(materialize(gone.select(ROW).distinct(), "gone"))
+    return rows.join(ids, ROW, "left_anti").drop(ROW)
+
+
+def all_but_first(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Row ids of all rows of a group but one, which is that of the smallest doc_id (nulls last,
+    ties by row id). members has a row and its group, one of the group's row ids, for each row that
+    isn't its group's namesake."""
+    members = materialize(members.select(ROW, "group"), "group-members")
+    every = members.unionByName(members.select(F.col("group").alias(ROW), "group").distinct())
+    placed = materialize(rows.select(ROW, "doc_id").join(broadcast_if_small(materialize(every, "group-rows")), ROW), "groups")
+    first = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return placed.select(ROW).join(first, ROW, "left_anti")

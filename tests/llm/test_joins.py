@@ -222,3 +222,23 @@ def test_pipeline_drops_near_copies_of_five_words_and_80_percent(spark):
     assert jaccard(4) < 0.85 and jaccard(5) >= 0.8
     docs = spark.createDataFrame([(1, a), (2, b), (3, passage(81, 240))], "doc_id long, text string")
     assert {r.doc_id for r in P.drop_near_copies(spark, docs, None).collect()} == {1, 3}
+
+
+def test_pipeline_drops_single_rows_of_null_and_repeated_ids(spark, tmp_path):
+    """Each stage drops rows and not ids, and keeps one row of each group."""
+    import corpus_pipeline as P
+    from tests.llm.conftest import passage
+
+    t = [passage(90 + i, 120) for i in range(8)]
+    near = "other " + t[1]
+    rows = [(1, t[0]), (None, t[0]), (None, t[2]), (None, None), (7, t[3]), (7, t[4]), (6, t[4]), (8, t[5]), (8, t[5]), (None, t[6]), (None, t[6])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pairs = lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=repr)
+    want = sorted([(1, t[0]), (None, t[2]), (None, None), (7, t[3]), (6, t[4]), (8, t[5]), (None, t[6])], key=repr)
+    assert pairs(P.drop_copies(spark, docs, None)) == want
+    assert pairs(P.drop_near_copies(spark, docs.where("text is not null"), None)) == [x for x in want if x[1] is not None]
+    close = [(None, near), (2, t[1]), (None, t[2]), (5, t[3]), (5, near)]
+    assert pairs(P.drop_near_copies(spark, spark.createDataFrame(close, docs.schema), None)) == sorted([(2, t[1]), (None, t[2]), (5, t[3])], key=repr)
+    spark.createDataFrame([(1, t[7])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leaks = [(None, t[0]), (None, t[7]), (3, t[1]), (3, "so " + t[7]), (4, t[2])]
+    assert pairs(P.drop_contaminated(spark, spark.createDataFrame(leaks, docs.schema), str(tmp_path))) == sorted([(None, t[0]), (3, t[1]), (4, t[2])], key=repr)
