@@ -146,3 +146,19 @@ def test_battery_equals_sql(spark, same_rows):
     got = secret_scan.secret_scan(spark.createDataFrame(documents)).toPandas()
     assert got["spans"].str.contains("random").sum() > 200
     same_rows(got, con.sql(secret_scan.ORACLE_SQL).df())
+
+
+def test_checks_confirm_what_the_base_rules_miss(spark):
+    planted = [("bank", "DE89 3704 0044 0532 0130 00"), ("bank", "GB82WEST12345698765432"), ("id", "123-45-6789"), ("email", "jo.doe (at) mail (dot) example (dot) com"), ("email", "jo[at]example.org"), ("card", "4111.1111.1111.1111"), ("phone", "(988) 555-2485")]
+    fakes = ["DE89 3704 0044 0532 0130 01", "666-45-6789", "000-12-3456", "4111.1111.1111.1112", "meet (at) noon", "jo (at) home (dot) 5"]
+    noise = [f"order {i} of 12-{i}-7 paid {i * 37} at u{i}@m.example.com" for i in range(1, 40)]
+    texts = [f"see {x} EUR now" for _, x in planted] + [f"see {x} now" for x in fakes] + noise
+    for some in (texts, texts[:1]):  # also where there is nothing to learn from
+        df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+        got = {r.doc_id: r.spans for r in pii.pii(df).collect()}
+        for i, (kind, x) in enumerate(planted[: len(some)]):
+            assert got[i] == f"{kind}:4:{4 + len(x)}", (x, got[i])
+    for i, x in enumerate(fakes):
+        for s, k, e in pii.proposals(x, pii.base_spans(x)):
+            assert not pii.confirmed(x, k, s, e), (x, k, s, e)
+    assert {r.doc_id: r.text for r in pii.redacted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}[2] == "see [id] EUR now"
