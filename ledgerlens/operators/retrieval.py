@@ -127,10 +127,35 @@ def hybrid(keyword: DataFrame, vector: DataFrame, k: int, alpha: float = 0.5, be
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def hybrid_whole(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, k: int, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
+    """hybrid() over all documents: no side is cut before fusion. Vectors have id, embedding. Each
+    document with a keyword score gets its vector score looked up; one without can only be among the
+    k best if it is among the k best vectors. Minima and maxima are those of all vector scores and of
+    all keyword scores of the query; order is by the score before rounding, then id."""
+    keyword = min_max(bm25(queries, docs).select("query_id", "doc_id", F.col("score").alias("w")), "query_id", "w")
+    best = vector_topk(query_vectors, doc_vectors, k, "id").select("query_id", F.col("item_id").alias("doc_id"), F.col("score").alias("v"))
+    turned = query_vectors.select("id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    low = vector_topk(turned, doc_vectors, 1, "id").select("query_id", (-F.col("score")).alias("low"))
+    span = low.join(best.groupBy("query_id").agg(F.max("v").alias("high")), "query_id")
+
+    def unit(df: DataFrame, key: str, name: str) -> DataFrame:
+        e = F.transform("embedding", lambda x: x.cast("double"))
+        norm = F.greatest(F.sqrt(F.aggregate(e, F.lit(0.0), lambda t, x: t + x * x)), F.lit(1e-300))
+        return df.where(F.size("embedding") > 0).select(F.col("id").alias(key), F.transform(e, lambda x: x / norm).alias(name))
+
+    looked = keyword.join(unit(query_vectors, "query_id", "p"), "query_id", "left").join(unit(doc_vectors, "doc_id", "q"), "doc_id", "left")
+    looked = looked.select("query_id", "doc_id", "w", F.round(F.aggregate(F.zip_with("p", "q", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x), 6).alias("v"))
+    other = best.join(keyword, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("w"), "v")
+    v = F.coalesce((F.col("v") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(0.0))
+    fused = looked.unionByName(other).join(span, "query_id", "left").select("query_id", "doc_id", (alpha * v + beta * F.col("w")).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round("score", 6))
+
+
 def sufficient(ranked: DataFrame, least: float) -> DataFrame:
     """Per query: the best score, whether it is enough to answer, and the sources to cite."""
     listed = F.array_join(F.array_sort(F.collect_set(F.col("doc_id"))).cast("array<string>"), ",")
     return ranked.groupBy("query_id").agg(F.max("score").alias("best"), listed.alias("sources")).withColumn("verdict", F.when(F.col("best") >= least, "answer").otherwise("cannot_verify"))
 
 
-__all__ = ["bm25", "cached_embed", "chunks", "current_version", "embed", "hybrid", "min_max", "normalize", "sections", "sufficient", "vector_topk", "version_changes"]
+__all__ = ["bm25", "cached_embed", "chunks", "current_version", "embed", "hybrid", "hybrid_whole", "min_max", "normalize", "sections", "sufficient", "vector_topk", "version_changes"]
