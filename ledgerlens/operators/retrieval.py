@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import normalize, tokens
+from ledgerlens.sources.scratch import new_folder
 
 CHUNK_CHARS = 200
 K1, B = 1.2, 0.75
@@ -40,6 +41,15 @@ def version_changes(df: DataFrame, key: str, version: str, value: str) -> DataFr
     return df.withColumn("changed", ~F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1))
 
 
+def compare_versions(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per source and version: sections (source, section, version, text_md5) of that version or the one
+    before it, and how many were changed, added and removed."""
+    a = before.select("source", "section", (F.col("version") + 1).alias("version"), F.col("text_md5").alias("old"))
+    b = after.select("source", "section", "version", F.col("text_md5").alias("new"))
+    both = a.join(b, ["source", "section", "version"], "full_outer")
+    return both.groupBy("source", "version").agg(F.count("*").alias("n_docs"), F.count_if(F.col("old") != F.col("new")).alias("changed"), F.count_if(F.col("old").isNull()).alias("added"), F.count_if(F.col("new").isNull()).alias("removed"))
+
+
 def embed(df: DataFrame, text: str, model: Callable[[list[str]], np.ndarray], name: str = "embedding") -> DataFrame:
     """Vectors of an injected model, one Arrow batch at a time."""
 
@@ -93,18 +103,32 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, key: str = "vec_id
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, marked for broadcast if it is counted to have few (narrow) rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame:
     """queries: query_id, text; docs: doc_id, text. BM25 of documents that share a token with the
-    query: query_id, doc_id, score (6 digits), rank by score, then id. Postings are counted before
-    the join, and only those of query tokens are joined."""
+    query: query_id, doc_id, score (6 digits), rank by score, then id. Documents are tokenized once: the
+    postings of query tokens, counted per document, are written with each document's length. Questions
+    are joined by token; where their tokens are few enough they are broadcast, so that a common token's
+    postings stay in their partitions."""
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    bags = docs.select("doc_id", tokens(F.col("text")).alias("bag"))
-    stats = bags.agg(F.count("*").alias("n_docs"), F.avg(F.size("bag")).alias("mean_len")).first()
-    postings = bags.select("doc_id", F.size("bag").alias("len"), F.explode("bag").alias("token")).join(F.broadcast(q.select("token").distinct()), "token", "left_semi").groupBy("token", "doc_id", "len").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
+    words = _small(q.select("token").distinct())
+    bags = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), tokens(F.col("text")).alias("bag"))
+    bags = bags.select("doc_id", "row", F.size("bag").alias("len"), F.explode_outer(F.when(F.size("bag") > 0, F.col("bag"))).alias("token"))
+    counted = bags.join(words.select("token", F.lit(True).alias("asked")), "token", "left").groupBy("row", "doc_id", "len", F.when(F.col("asked"), F.col("token")).alias("token")).agg(F.count("*").alias("tf"))
+    path = new_folder(docs.sparkSession, "bm25-postings")
+    counted.write.parquet(path)
+    written = docs.sparkSession.read.schema(counted.schema).parquet(path)
+    # Every document has a row: that of its tokens nobody asks for, or of its asked ones.
+    stats = written.groupBy("row", "len").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len")).first()
+    postings = written.where("token is not null").groupBy("token", "doc_id", "len").agg(F.sum("tf").alias("tf"))
+    df = _small(postings.groupBy("token").agg(F.count("*").alias("df")))
     idf = F.log(1 + (F.lit(float(stats["n_docs"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(stats["mean_len"] or 1.0)))
-    scored = q.join(postings, "token").join(df, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(idf * weight), 6).alias("score"))
+    scored = postings.join(_small(q), "token").join(df, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(idf * weight), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     ranked = scored.withColumn("rank", F.row_number().over(w))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
@@ -131,7 +155,7 @@ def hybrid_whole(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame,
     """hybrid() over all documents: no side is cut before fusion. Vectors have id, embedding. Each
     document with a keyword score gets its vector score looked up; one without can only be among the
     k best if it is among the k best vectors. Minima and maxima are those of all vector scores and of
-    all keyword scores of the query; order is by the score before rounding, then id."""
+    all keyword scores of the query; order is by the score to 9 digits, then id."""
     keyword = min_max(bm25(queries, docs).select("query_id", "doc_id", F.col("score").alias("w")), "query_id", "w")
     best = vector_topk(query_vectors, doc_vectors, k, "id").select("query_id", F.col("item_id").alias("doc_id"), F.col("score").alias("v"))
     turned = query_vectors.select("id", F.transform("embedding", lambda x: -x).alias("embedding"))
@@ -147,7 +171,7 @@ def hybrid_whole(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame,
     looked = looked.select("query_id", "doc_id", "w", F.round(F.aggregate(F.zip_with("p", "q", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x), 6).alias("v"))
     other = best.join(keyword, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("w"), "v")
     v = F.coalesce((F.col("v") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(0.0))
-    fused = looked.unionByName(other).join(span, "query_id", "left").select("query_id", "doc_id", (alpha * v + beta * F.col("w")).alias("score"))
+    fused = looked.unionByName(other).join(span, "query_id", "left").select("query_id", "doc_id", F.round(alpha * v + beta * F.col("w"), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round("score", 6))
 

@@ -122,20 +122,18 @@ _COUNTS = ", ".join(f"(length(lower(text)) - length(replace(lower(text), '{c}',
 @query(
     "rg11_hybrid",
     f"""WITH {BM25}, dv AS (SELECT doc_id, [{_COUNTS}] AS e FROM documents), qv AS (SELECT query_id, [{_COUNTS}] AS e FROM question),
-vs AS (SELECT query_id, doc_id, CASE WHEN isnan(c) THEN 0 ELSE round(c, 6) END AS score FROM (SELECT query_id, doc_id, list_cosine_similarity(qv.e, dv.e) AS c FROM qv, dv)), vt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM vs) WHERE rank <= 100),
-kt AS (SELECT * FROM ranked WHERE rank <= 100), a AS (SELECT query_id, doc_id, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0) AS v FROM vt WINDOW w AS (PARTITION BY query_id)),
-b AS (SELECT query_id, doc_id, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0) AS w FROM kt WINDOW w AS (PARTITION BY query_id)),
-f AS (SELECT query_id, doc_id, round(0.5 * coalesce(v, 0) + 0.5 * coalesce(w, 0), 6) AS score FROM a FULL JOIN b USING (query_id, doc_id))
-SELECT query_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f) WHERE rank <= {K}""",
+vs AS (SELECT query_id, doc_id, CASE WHEN isnan(c) THEN 0 ELSE round(c, 6) END AS score FROM (SELECT query_id, doc_id, list_cosine_similarity(qv.e, dv.e) AS c FROM qv, dv)),
+a AS (SELECT query_id, doc_id, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0) AS v FROM vs WINDOW w AS (PARTITION BY query_id)),
+b AS (SELECT query_id, doc_id, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0) AS w FROM kw WINDOW w AS (PARTITION BY query_id)),
+f AS (SELECT query_id, doc_id, 0.5 * coalesce(v, 0) + 0.5 * coalesce(w, 0) AS score FROM a FULL JOIN b USING (query_id, doc_id))
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM f) WHERE rank <= {K}""",
 )
 def rg11(spark, d):
-    """Keyword and vector scores of the hundred best of either, fused."""
+    """Keyword and vector scores of all documents, fused; no side is cut before."""
     q, docs = questions(spark, d), table(spark, d, "documents").select("doc_id", "text")
-    keyword = R.bm25(q, docs, 100)
     qv = R.embed(q, "text", letter_model).select(F.col("query_id").alias("id"), "embedding")
     dv = R.embed(docs, "text", letter_model).select(F.col("doc_id").alias("id"), "embedding")
-    vector = R.vector_topk(qv, dv, 100, "id").withColumnRenamed("item_id", "doc_id")
-    return R.hybrid(keyword, vector, K)
+    return R.hybrid_whole(q, docs, qv, dv, K)
 
 
 @query(
@@ -153,12 +151,18 @@ def io14(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     cache = R.embed(docs.where("doc_id % 2 = 0").dropDuplicates(["text"]).withColumn("text_key", F.sha2("text", 256)), "text", letter_model).select("text_key", "embedding")
     found, fresh = R.cached_embed(docs, cache, "text", letter_model)
-    return fresh.agg(F.count("*").alias("embedded")).crossJoin(found.where("embedding is not null").agg(F.count("*").alias("documents")))
+    rows = fresh.select(F.lit(1).alias("fresh")).unionByName(found.where("embedding is not null").select(F.lit(0).alias("fresh")))
+    return rows.agg(F.count_if(F.col("fresh") == 1).alias("embedded"), F.count_if(F.col("fresh") == 0).alias("documents"))
 
 
-@query("io15_readiness", "SELECT * FROM (VALUES ('customer', true, ''), ('events', true, ''), ('orders', false, 'o_currency')) AS t(table_name, ready, missing)")
+@query(
+    "io15_readiness",
+    """SELECT 'customer' AS table_name, count(*) FILTER (c_custkey IS NULL OR c_acctbal IS NULL) = 0 AS ready, '' AS missing, count(*) AS n_rows, count(*) FILTER (c_custkey IS NULL) + count(*) FILTER (c_acctbal IS NULL) AS nulls FROM customer
+UNION ALL SELECT 'events', count(*) FILTER (event_id IS NULL OR ts IS NULL) = 0, '', count(*), count(*) FILTER (event_id IS NULL) + count(*) FILTER (ts IS NULL) FROM events
+UNION ALL SELECT 'orders', false, 'o_currency', count(*), count(*) FILTER (o_orderkey IS NULL) FROM orders""",
+)
 def io15(spark, d):
     from ledgerlens.sources.stores import readiness
 
     need = {"customer": ["c_custkey", "c_acctbal"], "events": ["event_id", "ts"], "orders": ["o_orderkey", "o_currency"]}
-    return readiness(spark, {name: (table(spark, d, name), columns) for name, columns in need.items()})
+    return readiness({name: (table(spark, d, name), columns) for name, columns in need.items()})

@@ -23,6 +23,11 @@ def read_policies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
+def read_policy_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Policy documents as JSON lines, in folders by category or not. The schema is given, not inferred."""
+    return spark.read.schema(schema).json(path)
+
+
 def append_trace(events: DataFrame, path: str) -> None:
     """Append only, by day."""
     events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
@@ -67,10 +72,16 @@ def read_audio(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), "content")
 
 
-def readiness(spark: SparkSession, expected: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """Per table: whether its columns are all there, and which are missing."""
-    rows = [(name, not (missing := [c for c in columns if c not in df.columns]), ",".join(missing)) for name, (df, columns) in expected.items()]
-    return spark.createDataFrame(rows, "table_name string, ready boolean, missing string")
+def readiness(expected: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Per table: whether its columns are all there and hold no nulls, which are missing, its rows, and
+    the nulls in the columns that are there."""
+    out = None
+    for name, (df, columns) in sorted(expected.items()):
+        missing, there = [c for c in columns if c not in df.columns], [c for c in columns if c in df.columns]
+        nulls = sum((F.count_if(F.col(c).isNull()) for c in there), F.lit(0).cast("long"))
+        one = df.agg(F.count("*").alias("n_rows"), nulls.alias("nulls")).select(F.lit(name).alias("table_name"), (F.lit(not missing) & (F.col("nulls") == 0)).alias("ready"), F.lit(",".join(missing)).alias("missing"), "n_rows", "nulls")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def migrate(df: DataFrame, version: int, schema: T.StructType) -> DataFrame:
