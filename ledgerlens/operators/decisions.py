@@ -38,12 +38,13 @@ def decide(calls: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 def match_confirmations(events: DataFrame, key: str, is_request: Column, is_answer: Column) -> DataFrame:
-    """Each answer with the latest request before it in its session, and turns since: an answer binds
-    to one request only, the last one open."""
+    """Each answer with the open request it binds to, and turns since: the latest request before it in its
+    session, unless another answer came in between, as an answer closes the request."""
     w = Window.partitionBy(key).orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, -1)
     seq = F.row_number().over(Window.partitionBy(key).orderBy("ts", "call_id"))
     e = events.withColumn("turn", seq)
-    e = e.withColumn("request_id", F.last(F.when(is_request, F.col("call_id")), True).over(w)).withColumn("request_turn", F.last(F.when(is_request, F.col("turn")), True).over(w))
+    marks = F.when(is_request, F.struct("call_id", "turn")).when(is_answer, F.struct(F.lit(None).cast("long").alias("call_id"), F.lit(None).cast("int").alias("turn")))
+    e = e.withColumn("mark", F.last(marks, True).over(w)).withColumn("request_id", F.col("mark.call_id")).withColumn("request_turn", F.col("mark.turn"))
     return e.where(is_answer).withColumn("turns_since", F.col("turn") - F.col("request_turn"))
 
 
@@ -85,12 +86,16 @@ def running(df: DataFrame, keys: list[str], order: list[str], amount: Column, na
     return df.withColumn(name, F.sum(amount).over(w))
 
 
-def concurrency(spans: DataFrame, key: str) -> DataFrame:
-    """Most spans (start_ts, end_ts) open at once, per key: a sweep over +1 and -1. A span that ends
-    when another starts is closed first."""
-    steps = spans.select(key, F.col("start_ts").alias("at"), F.lit(1).alias("step")).unionByName(spans.select(key, F.col("end_ts").alias("at"), F.lit(-1).alias("step")))
-    w = Window.partitionBy(key).orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("open", F.sum("step").over(w)).groupBy(key).agg(F.max("open").cast("long").alias("most_open"))
+def concurrency(spans: DataFrame) -> DataFrame:
+    """Most spans (start_ts, end_ts) open at once, per hour (hour, most_open); a span counts in every
+    hour it touches. In an hour: a sweep over +1 and -1. A span that ends when another starts is closed
+    first. No window holds more than an hour's spans."""
+    hours = F.sequence(F.date_trunc("hour", F.col("start_ts").cast("timestamp")), F.date_trunc("hour", F.col("end_ts").cast("timestamp")), F.expr("INTERVAL 1 HOUR"))
+    cut = spans.select("start_ts", "end_ts", F.explode(hours).alias("hour")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    step = lambda at, n: cut.select("hour", F.col(at).alias("at"), F.lit(n).alias("step"))
+    w = Window.partitionBy("hour").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
+    open_ = step("start_ts", 1).unionByName(step("end_ts", -1)).withColumn("open", F.sum("step").over(w))
+    return open_.groupBy("hour").agg(F.max("open").cast("long").alias("most_open"))
 
 
 def rate_limited(df: DataFrame, key: str, seconds: int, most: int) -> DataFrame:
@@ -99,3 +104,35 @@ def rate_limited(df: DataFrame, key: str, seconds: int, most: int) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     w = Window.partitionBy(key).orderBy(us).rangeBetween(-seconds * 1_000_000, 0)
     return df.withColumn("in_window", F.count("*").over(w)).where(F.col("in_window") > most)
+
+
+def by_reason(of: dict[str, tuple[str, str]], at: int) -> Column:
+    """The category (0) or priority (1) of the column reason."""
+    out = F.lit(None).cast("string")
+    for name, values in of.items():
+        out = F.when(F.col("reason") == name, values[at]).otherwise(out)
+    return out
+
+
+def escalate(sessions: DataFrame, of: dict[str, tuple[str, str]], existing: DataFrame) -> DataFrame:
+    """Support cases of sessions with a reason: sessions has user_id, session_no, n_events, end_ts, reason;
+    of gives each reason's category and priority. Sessions whose case_id exists get no second case."""
+    cases = sessions.where("reason is not null").select(
+        F.concat(F.lit("CASE-"), "user_id", F.lit("-"), "session_no").alias("case_id"),
+        F.col("user_id").alias("customer_id"),
+        F.col("session_no").alias("session_id"),
+        by_reason(of, 0).alias("category"),
+        by_reason(of, 1).alias("priority"),
+        F.lit("OPEN").alias("status"),
+        F.concat(F.lit("Escalated after "), "n_events", F.lit(" events: "), "reason").alias("summary"),
+        F.col("reason").alias("handoff_reason"),
+        F.col("end_ts").alias("created_at"),
+    )
+    return cases.join(existing.select("case_id"), "case_id", "left_anti")
+
+
+def over_limits(df: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """Rows that exceed a limit, with the names of those they exceed, in the limits' order. Each limit is a
+    column's greatest allowed value."""
+    found = F.array_compact(F.array(*[F.when(F.col(n) > most, F.lit(n)) for n, most in limits.items()]))
+    return df.withColumn("exceeded", F.array_join(found, ",")).where("exceeded <> ''")

@@ -87,3 +87,10 @@ def latest_state(initial: DataFrame, actions: DataFrame, key: str) -> DataFrame:
     """State by key after an append-only action log: the latest action's state, else the initial."""
     last = actions.groupBy(key).agg(F.max_by("new_status", F.struct("ts", "call_id")).alias("new_status"))
     return initial.join(last, key, "left").withColumn("status_now", F.coalesce("new_status", "status")).drop("new_status")
+
+
+def open_disputes(transactions: DataFrame, existing: DataFrame) -> DataFrame:
+    """One open dispute per transaction (transaction_id, customer_id, reason_code, ts) that has none yet:
+    asking twice, or for a disputed transaction, opens no other."""
+    fresh = transactions.join(existing.select("transaction_id"), "transaction_id", "left_anti").groupBy("transaction_id").agg(F.min_by(F.struct("customer_id", "reason_code"), "ts").alias("first"), F.min("ts").alias("created_at"))
+    return fresh.select(F.concat(F.lit("DSP-"), "transaction_id").alias("dispute_id"), "first.customer_id", "transaction_id", "first.reason_code", F.lit("OPEN").alias("status"), "created_at")

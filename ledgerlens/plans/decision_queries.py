@@ -57,10 +57,9 @@ def pa5(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", confirm_intent(F.col("text")).alias("intent"))
 
 
-MATCHED = """, turns AS (SELECT *, row_number() OVER w AS turn FROM call WINDOW w AS (PARTITION BY customer_id ORDER BY ts, call_id)),
-bound AS (SELECT *, last_value(CASE WHEN tool = 'create_dispute' THEN call_id END IGNORE NULLS) OVER p AS request_id, last_value(CASE WHEN tool = 'create_dispute' THEN turn END IGNORE NULLS) OVER p AS request_turn
-  FROM turns WINDOW p AS (PARTITION BY customer_id ORDER BY ts, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-matched AS (SELECT *, turn - request_turn AS turns_since FROM bound WHERE tool = 'get_account_balance')
+MATCHED = """, turns AS (SELECT *, row_number() OVER w AS turn, CASE WHEN tool = 'create_dispute' THEN 'request' WHEN tool = 'get_account_balance' THEN 'answer' END AS role FROM call WINDOW w AS (PARTITION BY customer_id ORDER BY ts, call_id)),
+marks AS (SELECT customer_id, turn, call_id, role, lag(role) OVER m AS before, lag(call_id) OVER m AS before_id, lag(turn) OVER m AS before_turn FROM turns WHERE role IS NOT NULL WINDOW m AS (PARTITION BY customer_id ORDER BY turn)),
+matched AS (SELECT call_id, CASE WHEN before = 'request' THEN before_id END AS request_id, CASE WHEN before = 'request' THEN turn - before_turn END AS turns_since FROM marks WHERE role = 'answer')
 """
 
 
@@ -167,12 +166,13 @@ def pa15(spark, d):
 @query(
     "pa16_concurrency",
     session_sql(
-        """, step AS (SELECT strftime(start_ts, '%Y-%m-%d') AS day, start_ts AS place, 1 AS s FROM session UNION ALL SELECT strftime(start_ts, '%Y-%m-%d'), end_ts, -1 FROM session)
-SELECT day, CAST(max(o) AS BIGINT) AS most_open FROM (SELECT day, sum(s) OVER (PARTITION BY day ORDER BY place, s ROWS UNBOUNDED PRECEDING) AS o FROM step) GROUP BY day"""
-    ).replace("\n, step", ", step"),
+        """, cut AS (SELECT start_ts, end_ts, unnest(generate_series(date_trunc('hour', start_ts), date_trunc('hour', end_ts), INTERVAL 1 HOUR)) AS hour FROM session), step AS (SELECT hour, start_ts AS place, 1 AS s FROM cut UNION ALL SELECT hour, end_ts, -1 FROM cut)
+SELECT hour, CAST(max(o) AS BIGINT) AS most_open FROM (SELECT hour, sum(s) OVER (PARTITION BY hour ORDER BY place, s ROWS UNBOUNDED PRECEDING) AS o FROM step) GROUP BY hour"""
+    ).replace("\n, cut", ", cut"),
 )
 def pa16(spark, d):
-    return D.concurrency(T.sessions(trace(spark, d)).withColumn("day", F.date_format("start_ts", "yyyy-MM-dd")), "day")
+    """Sessions over midnight, or over any hour's end, count in each hour they touch."""
+    return D.concurrency(T.sessions(trace(spark, d)))
 
 
 @query(

@@ -31,7 +31,11 @@ def ev3(spark, d):
     return M.rate(decided(spark, d), F.col("arguments_valid"), ["tool"])
 
 
-@query("ev4_unauthorized", decided_sql("""SELECT 0e0 AS rate, count(*) AS n FROM outcomes WHERE outcome = 'executed'"""))
+#: What the three levels don't permit, worked out from the call and the catalogue and not from the outcome.
+UNPERMITTED = "NOT coalesce(CASE level WHEN 1 THEN true WHEN 2 THEN authenticated WHEN 3 THEN authenticated AND confirmed END, false)"
+
+
+@query("ev4_unauthorized", decided_sql(f"SELECT {flag(UNPERMITTED)} AS rate, count(*) AS n FROM outcomes WHERE outcome = 'executed'"))
 def ev4(spark, d):
     """Executed calls that their level doesn't permit: 0."""
     from ledgerlens.operators.decisions import permit
@@ -74,23 +78,24 @@ def ev12(spark, d):
     )
 
 
-RUNS = """SELECT 'success' AS metric, avg(CASE WHEN outcome = 'executed' THEN 1e0 ELSE 0e0 END) AS value FROM outcomes WHERE {w} UNION ALL SELECT 'cost_tokens', avg(k::DOUBLE) FROM outcomes WHERE {w} UNION ALL SELECT 'unauthorized_rate', 0e0"""
+RUNS = """SELECT 'success' AS metric, avg(CASE WHEN outcome = 'executed' THEN 1e0 ELSE 0e0 END) AS value FROM outcomes WHERE {w} UNION ALL SELECT 'cost_tokens', avg(k::DOUBLE) FROM outcomes WHERE {w} UNION ALL SELECT 'unauthorized_rate', avg(CASE WHEN outcome = 'executed' AND {u} THEN 1e0 ELSE 0e0 END) FROM outcomes WHERE {w}"""
 
 
 @query(
     "ev17_gate",
     decided_sql(
-        f""", b AS ({RUNS.format(w='call_id % 2 = 0')}), c AS ({RUNS.format(w='call_id % 2 = 1')})
+        f""", b AS ({RUNS.format(w='call_id % 2 = 0', u=UNPERMITTED)}), c AS ({RUNS.format(w='call_id % 2 = 1', u=UNPERMITTED)})
 SELECT metric, round(b.value, 6) AS baseline, round(c.value, 6) AS candidate, CASE WHEN metric = 'unauthorized_rate' AND c.value > 0 THEN 'FAIL' WHEN metric = 'cost_tokens' AND (c.value - b.value) / nullif(b.value, 0) > 0.2 THEN 'REVIEW'
 WHEN metric = 'success' AND round(c.value - b.value, 6) < -0.02 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM b JOIN c USING (metric)"""
     ).replace("\n, b AS", ", b AS"),
 )
 def ev17(spark, d):
     """Even calls are the baseline's run, odd ones the candidate's."""
+    from ledgerlens.operators.decisions import permit
 
     def run(odd: int):
         x = decided(spark, d).where(F.col("call_id") % 2 == odd)
-        bad = (F.col("outcome") == "executed") & F.col("failed_layer").isNotNull()
+        bad = (F.col("outcome") == "executed") & ~permit(F.col("level"), F.col("authenticated"), F.col("confirmed"))
         r = x.agg(F.avg(F.when(F.col("outcome") == "executed", 1.0).otherwise(0.0)).alias("success"), F.avg(F.col("k").cast("double")).alias("cost_tokens"), F.avg(F.when(bad, 1.0).otherwise(0.0)).alias("unauthorized_rate"))
         return r.unpivot([], ["success", "cost_tokens", "unauthorized_rate"], "metric", "value")
 
@@ -172,9 +177,7 @@ def ev26(spark, d):
 
 @query("ev27_cross_customer", decided_sql("SELECT call_id, customer_id, resource_owner, outcome FROM outcomes WHERE resource_owner <> customer_id"))
 def ev27(spark, d):
-    x = decided(spark, d)
-    own = x.select(F.col("customer_id"), F.col("customer_id").alias("resource_owner")).distinct()
-    return x.join(own, ["customer_id", "resource_owner"], "left_anti").select("call_id", "customer_id", "resource_owner", "outcome")
+    return decided(spark, d).where("resource_owner <> customer_id").select("call_id", "customer_id", "resource_owner", "outcome")
 
 
 @query("ev29_model_routing", with_views("trace", "SELECT event AS model, round(avg(CASE WHEN value < 100 THEN 1e0 ELSE 0e0 END), 6) AS success, round(avg(k::DOUBLE), 6) AS cost FROM trace GROUP BY 1"))

@@ -12,9 +12,20 @@ from ledgerlens.streaming import sessions as S
 CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 
-def _run(spark, stream):
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _run(spark, stream, rocksdb: bool = False):
+    """Run a stream to its end. Where it needs the RocksDB provider, the session has it only while it runs."""
     folder = new_folder(spark, "stream")
-    return S.run_to_table(stream, f"{folder}/out", f"{folder}/checkpoint")
+    before = spark.conf.get(PROVIDER, None)
+    try:
+        if rocksdb:
+            spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        return S.run_to_table(stream, f"{folder}/out", f"{folder}/checkpoint")
+    finally:
+        if rocksdb:
+            spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
 @query("st10_tumbling", f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start_ts, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= {CLOSED}")
@@ -49,5 +60,43 @@ def st8(spark, d):
 @query("st1_state_machine")
 def st1(spark, d):
     """Changes of state and of the pending confirmation; compared with a plain loop in the tests."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return _run(spark, S.state_machine(S.event_stream(spark, d)))
+    return _run(spark, S.state_machine(S.event_stream(spark, d)), rocksdb=True)
+
+
+@query(
+    "st2_session_timers",
+    with_views("trace", f"SELECT user_id, epoch_us(min(ts)) // 1000 AS start_ms, epoch_us(max(ts)) // 1000 AS end_ms, count(*) AS n_events, 'inactivity' AS reason FROM trace GROUP BY user_id, session_no HAVING max(ts) + INTERVAL 30 MINUTE <= {CLOSED}"),
+)
+def st2_timers(spark, d):
+    """Sessions that a later event or an event-time timer has ended."""
+    return _run(spark, S.timed_sessions(S.event_stream(spark, d)), rocksdb=True)
+
+
+@query("st6_transcripts", "SELECT conv_id, role, arg_max(text, turn) AS text, count(*) AS revisions FROM conversations GROUP BY 1, 2")
+def st6(spark, d):
+    folder = new_folder(spark, "stream")
+    return S.merged_transcripts(S.transcript_stream(spark, d), f"{folder}/out", f"{folder}/checkpoint")
+
+
+@query("st9_rate_windows", f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start_ts, user_id, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1 AND time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= {CLOSED}")
+def st9_rate(spark, d):
+    out = _run(spark, S.rate_windows(S.event_stream(spark, d), 1))
+    return out.select(F.col("start_ts").cast("timestamp_ntz").alias("start_ts"), "user_id", "n")
+
+
+@query("st9_budget", with_views("trace", "SELECT user_id, event_id, CAST(spent AS BIGINT) AS spent, spent > 2000 AS denied FROM (SELECT user_id, event_id, sum(k) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM trace)"))
+def st9_budget(spark, d):
+    stream = S.event_stream(spark, d).withColumn("k", F.get_json_object("props", "$.k").cast("long")).select("user_id", "event_id", "ts", "k")
+    return _run(spark, S.budgets(stream, 2000), rocksdb=True)
+
+
+@query("st10_sliding", f"SELECT start_ts, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start_ts FROM events) GROUP BY 1, 2 HAVING start_ts + INTERVAL 1 HOUR <= {CLOSED}")
+def st10_sliding(spark, d):
+    out = _run(spark, S.sliding_counts(S.event_stream(spark, d)))
+    return out.select(F.col("start_ts").cast("timestamp_ntz").alias("start_ts"), "event_type", "n")
+
+
+@query("st11_cancelled_requests", "SELECT r.event_id AS request_id, c.event_id AS cancel_id FROM events r JOIN events c ON r.user_id = c.user_id AND r.event_type = 'purchase' AND c.event_type = 'error' AND c.ts > r.ts AND c.ts <= r.ts + INTERVAL 30 MINUTE")
+def st11(spark, d):
+    requests = S.event_stream(spark, d).where("event_type = 'purchase'")
+    return _run(spark, S.cancelled_requests(requests, S.event_stream(spark, d).where("event_type = 'error'")))

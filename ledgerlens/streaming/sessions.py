@@ -32,8 +32,8 @@ STATES = ("CREATED", "CONNECTING", "READY", "LISTENING", "USER_SPEAKING", "PROCE
 
 
 def event_stream(spark: SparkSession, path: str, glob: str = "events.parquet*") -> DataFrame:
-    """Events of a folder as a stream, with event time as timestamp."""
-    s = spark.readStream.schema(EVENTS).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").parquet(path)
+    """Events of a folder as a stream, with event time as timestamp. The table is a file or a folder of files."""
+    s = spark.readStream.schema(EVENTS).parquet(f"{path.rstrip('/')}/{glob}")
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -42,6 +42,120 @@ def tumbling_counts(stream: DataFrame, width: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", WATERMARK).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start_ts"), "event_type", "n", "total")
 
 
+def sliding_counts(stream: DataFrame, width: str = "1 hour", slide: str = "30 minutes") -> DataFrame:
+    w = F.window("ts", width, slide)
+    return stream.withWatermark("ts", WATERMARK).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start_ts"), "event_type", "n")
+
+
+def rate_windows(stream: DataFrame, most: int, width: str = "1 hour") -> DataFrame:
+    """Keys with more than most events in a window, once the watermark has passed it."""
+    w = F.window("ts", width)
+    return stream.withWatermark("ts", WATERMARK).groupBy(w.alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start_ts"), "user_id", "n").where(F.col("n") > most)
+
+
+def cancelled_requests(requests: DataFrame, cancels: DataFrame, within: str = "30 minutes") -> DataFrame:
+    """Stream-stream join: requests with each cancellation of the same user that follows within a time.
+    Watermarks on both sides and the bound let Spark drop old state."""
+    r = requests.withWatermark("ts", WATERMARK).select(F.col("user_id").alias("r_user"), F.col("ts").alias("r_ts"), F.col("event_id").alias("request_id"))
+    c = cancels.withWatermark("ts", WATERMARK).select(F.col("user_id").alias("c_user"), F.col("ts").alias("c_ts"), F.col("event_id").alias("cancel_id"))
+    return r.join(c, (F.col("r_user") == F.col("c_user")) & (F.col("c_ts") > F.col("r_ts")) & (F.col("c_ts") <= F.col("r_ts") + F.expr(f"INTERVAL {within}"))).select("request_id", "cancel_id")
+
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def transcript_stream(spark: SparkSession, path: str, glob: str = "conversations.parquet*") -> DataFrame:
+    """Partial and final transcripts of a folder as a stream: a later turn of a conversation's role
+    replaces the ones before it."""
+    return spark.readStream.schema(TURNS).parquet(f"{path.rstrip('/')}/{glob}")
+
+
+def merged_transcripts(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a transcript stream to its end: conv_id, role, the last text and the number of revisions. The
+    stream keeps one row a key; every batch appends the keys it changed, and the latest change counts."""
+    latest = stream.groupBy("conv_id", "role").agg(F.max_by("text", "turn").alias("text"), F.count("*").alias("revisions"))
+    put = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    latest.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    changes = stream.sparkSession.read.schema(latest.schema).parquet(path)
+    return changes.groupBy("conv_id", "role").agg(F.max_by("text", "revisions").alias("text"), F.max("revisions").alias("revisions"))
+
+
+class Budget(StatefulProcessor):
+    """A running sum by key: each event with what its key has spent, and whether that is over the cap. Fails
+    closed: an event without an amount is denied. Rows of one key come in order of time within a batch."""
+
+    def __init__(self, cap: int):
+        self.cap = cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.spent = handle.getValueState("spent", "spent long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        spent = self.spent.get()[0] if self.spent.exists() else 0
+        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        amounts = batch["k"].to_numpy("float64", na_value=float("nan"))
+        out = []
+        for event_id, amount in zip(batch["event_id"], amounts, strict=True):
+            known = amount == amount
+            spent += int(amount) if known else 0
+            out.append((key[0], int(event_id), spent, not known or spent > self.cap))
+        self.spent.update((spent,))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "spent", "denied"])
+
+    def close(self) -> None:
+        pass
+
+
+def budgets(stream: DataFrame, cap: int) -> DataFrame:
+    """Needs the RocksDB state store provider. The stream has user_id, event_id, ts and k."""
+    return stream.groupBy("user_id").transformWithStateInPandas(Budget(cap), outputStructType="user_id long, event_id long, spent long, denied boolean", outputMode="Append", timeMode="None")
+
+
+class SessionClock(StatefulProcessor):
+    """Ends sessions by inactivity and by maximum duration. A timer at the last event plus the gap ends a
+    session that nothing follows, and its state goes with it, so state doesn't outlive its session."""
+
+    def __init__(self, gap_ms: int, most_ms: int):
+        self.gap, self.most = gap_ms, most_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", "start long, last long, events long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        start, last, n = self.session.get() if self.session.exists() else (None, None, 0)
+        out = []
+        for ms in sorted(int(x) for part in rows for x in part["ms"]):
+            if start is not None and ms - last >= self.gap:
+                out.append((key[0], start, last, n, "inactivity"))
+                start, n = None, 0
+            elif start is not None and ms - start >= self.most:
+                out.append((key[0], start, last, n, "duration"))
+                start, n = None, 0
+            start, last, n = (ms if start is None else start), ms, n + 1
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.session.update((start, last, n))
+        self.handle.registerTimer(last + self.gap)
+        yield pd.DataFrame(out, columns=["user_id", "start_ms", "end_ms", "n_events", "reason"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        start, last, n = self.session.get()
+        self.session.clear()
+        yield pd.DataFrame([(key[0], start, last, n, "inactivity")], columns=["user_id", "start_ms", "end_ms", "n_events", "reason"])
+
+    def close(self) -> None:
+        pass
+
+
+def timed_sessions(stream: DataFrame, gap_minutes: int = 30, most_minutes: int = 480) -> DataFrame:
+    """Ended sessions: user_id, start_ms, end_ms, n_events, reason. Needs the RocksDB provider."""
+    timed = stream.withWatermark("ts", WATERMARK).withColumn("ms", F.unix_millis("ts"))
+    return timed.groupBy("user_id").transformWithStateInPandas(
+        SessionClock(gap_minutes * 60_000, most_minutes * 60_000), outputStructType="user_id long, start_ms long, end_ms long, n_events long, reason string", outputMode="Append", timeMode="EventTime"
+    )
+
+
 def session_windows(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Sessions by inactivity. Bounds are the first and last event's times, as aggregates: nothing
     downstream may filter on the window itself."""
