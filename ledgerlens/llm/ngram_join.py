@@ -6,21 +6,30 @@ most d elements, where d follows from the two sizes.
 
 XOR-hashing shingles into bits gives parity sketches: a bit differs only if an element of the
 symmetric difference fell on it, so Hamming distance bounds that difference from below. For each band
-of sizes the shingles are dealt into pieces, of which d differences leave at least one with at most
+of sizes the shingles are dealt into pieces, so many that d differences leave at least one with at most
 one difference; a piece is dealt into three parts, of which one difference leaves two alike. So nodes
-that link share the sketches of two parts of some piece (pigeonhole). These sketches are the join
-keys. Nodes near the lower end of a band also take part in the band below.
+that link share the sketches of two parts of some piece (pigeonhole). A part's sketch is sparse and as
+long as the hashes allow; it is held as the XOR of its shingles' hashes. Two parts' sketches are a join
+key. Nodes near the lower end of a band also take part in the band below.
+
+Parts that hold next to nothing are alike by chance, so two parts make a key only if they hold a least
+number of shingles, the same for all sets of a band. A set has enough full pieces if more than half of
+its largest difference (from its own size) have such a number in any two parts; then one of these has at
+most one difference, and the pair shares a key whatever the other set holds. The few sets without
+enough full pieces give their thin parts too, as keys of another kind, and so meet each other.
 
 A key's nodes are not all paired with each other. In the first round each is paired only with the
-key's center, that of its nodes which is in most keys; pairs are verified (Hamming bound on a sketch of the whole set, then the sets) and
-links merge nodes into components. In the second round, nodes of one key that are still in
-different components are compared by their sketches within the join, which gives only pairs that the
-Hamming bound allows. Every pair that links shares a key, so it is in one component
-after the first round or compared in the second: no link between components is lost.
+key's center, that of its nodes which is in most keys; pairs are verified (Hamming bound on a sketch of
+the whole set, then the sets) and links merge nodes into components. In the second round, nodes of one
+key that are still in different components are compared by their sketches within the join, which gives
+only pairs that the Hamming bound allows. Before that, a key with more than ``hot`` nodes left is dealt
+again: its pairs must also share a key of another deal. Every pair that links shares a key, so it is in
+one component after the first round or compared in the second: no link between components is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,21 +40,25 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import broadcast_if_small, materialize, needed, text_or_empty
 from ledgerlens.llm.components import components
-from ledgerlens.llm.words import grams, hashes, mixed, spaced_words
+from ledgerlens.llm.words import grams, mixed, spaced_hashes
 from ledgerlens.sources.tables import table
 
 SHINGLE, PERCENT = 4, 85
+#: The parts of a piece that make its keys.
+PARTS = ((0, 1), (0, 2), (1, 2))
+#: Nodes of a key beyond which it is dealt again, and how often at most.
+HOT, DEALS = 4096, 4
 #: Bits of the sketches that are compared inside a join.
 FOLD_BITS = 1024
 
 
 def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the distinct shingles; of fewer words, the whole sequence is one."""
-    words = spaced_words(text)
-    h = hashes(words)
+    h = spaced_hashes(text)
     if 0 < len(h) < shingle:
         return mixed(grams(h, len(h)) + np.uint64(len(h)))
-    return np.unique(grams(h, shingle))
+    g = np.sort(grams(h, shingle))
+    return g[np.concatenate([[True], g[1:] != g[:-1]])] if len(g) else g
 
 
 def most_different(a: int, b: int, percent: int = PERCENT) -> int:
@@ -58,7 +71,7 @@ class Bands:
     that a size takes part in."""
 
     def __init__(self, percent: int = PERCENT):
-        self.percent, self.lows = percent, [1]
+        self.percent, self.lows, self.plans = percent, [1], {}
 
     def low(self, k: int) -> int:
         while len(self.lows) <= k:
@@ -71,33 +84,65 @@ class Bands:
             k += 1
         return k
 
-    def pieces(self, k: int) -> int:
-        """Pieces of a band: d // 2 + 1 for the largest difference of a linking pair whose smaller
-        set is of the band; 0 where only equal sets link."""
+    def worst(self, k: int) -> int:
+        """The largest difference of a linking pair whose smaller set is of band k."""
         high = self.low(k + 1) - 1
-        d = most_different(high, high * 100 // self.percent, self.percent)
-        return d // 2 + 1 if d else 0
+        return most_different(high, high * 100 // self.percent, self.percent)
+
+    def dealt(self, k: int) -> tuple[int, int]:
+        """Pieces of a band, and the least number of shingles in two parts that make a key. Half the
+        worst difference and one more would do if each piece held enough; some more make up for
+        pieces that don't. Bands of small sets have no such least number."""
+        if k not in self.plans:
+            d, high = self.worst(k), self.low(k + 1) - 1
+            enough = d // 2 + 1 if d else 0
+            self.plans[k] = enough, 0
+            for least in (2, 1) if d else ():
+                pieces = enough
+                while pieces <= enough * 1.2 + 1 and not _full(pieces, high, least) >= enough:
+                    pieces += 1
+                if pieces <= enough * 1.2 + 1:
+                    self.plans[k] = pieces, least
+                    break
+        return self.plans[k]
 
     def of(self, n: int) -> list[int]:
         k = self.own(n)
         return [k - 1, k] if k and n * self.percent <= (self.low(k) - 1) * 100 else [k]
 
+    def different(self, n: int, k: int) -> int:
+        """The largest difference of a linking pair of band k that has a set of n."""
+        return most_different(n, n * 100 // self.percent if k == self.own(n) else self.low(k + 1) - 1, self.percent)
+
+
+def _full(pieces: int, n: int, least: int) -> float:
+    """How many pieces of a set of n have at least ``least`` shingles in any two of their parts,
+    less three standard deviations."""
+    mean = n / (3 * pieces)
+    none, one = math.exp(-mean), mean * math.exp(-mean)
+    good = (1 - none) ** 3 + 3 * none * ((1 - none - one) ** 2 if least == 2 else (1 - none) ** 2)
+    return pieces * good - 3 * math.sqrt(pieces * good * (1 - good))
+
 
-def keys_of(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The join keys of a set."""
+def keys_of(s: np.ndarray, bands: Bands, deal: int = 0) -> np.ndarray:
+    """The join keys of a set. Each deal deals its shingles to other pieces."""
     out = []
-    bits = np.uint64(1) << (s & np.uint64(63))
     for k in bands.of(len(s)):
-        pieces = bands.pieces(k)
+        pieces, least = bands.dealt(k)
         if not pieces:
             continue
-        part = (mixed(s + np.uint64(k + 1)) % np.uint64(3 * pieces)).astype(np.int64)
+        turn = mixed(np.array([k + 1, k << 40, deal + 1], np.uint64)) | np.uint64(1)
+        part = ((s * turn[0] * turn[2] >> np.uint64(32)) % np.uint64(3 * pieces)).astype(np.int64)
         sketch = np.zeros(3 * pieces, np.uint64)
-        np.bitwise_xor.at(sketch, part, bits)
-        a, b, c = sketch[0::3], sketch[1::3], sketch[2::3]
-        place = mixed(np.arange(pieces, dtype=np.uint64) + np.uint64(k << 40))
-        for omitted, (x, y) in enumerate(((a, b), (a, c), (b, c))):
-            out.append(mixed(mixed(x + place) * np.uint64(0x9E3779B97F4A7C15) + y + np.uint64(omitted)))
+        np.bitwise_xor.at(sketch, part, s)
+        held = np.bincount(part, minlength=3 * pieces)
+        sketch = mixed(sketch)
+        place = np.arange(1, pieces + 1, dtype=np.uint64) * turn[1]
+        thin = [held[x::3] + held[y::3] < least for x, y in PARTS]
+        short = pieces - np.count_nonzero(thin[0] | thin[1] | thin[2]) < bands.different(len(s), k) // 2 + 1
+        for omitted, (x, y) in enumerate(PARTS):
+            keys = sketch[x::3] * np.uint64(0x9E3779B97F4A7C15) + sketch[y::3] + place + np.uint64(omitted)
+            out.append(np.where(thin[omitted], mixed(keys), keys) if short else keys[~thin[omitted]])
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -153,7 +198,7 @@ def _sets(texts: DataFrame, salt: int, shingle: int) -> DataFrame:
     return texts.mapInArrow(read, f"doc_id {kind}, text_hash long, n long, node long, node_key binary, sketch binary, fold array<long>")
 
 
-def _keys(texts: DataFrame, salt: int, shingle: int, percent: int) -> DataFrame:
+def _keys(texts: DataFrame, salt: int, shingle: int, percent: int, deal: int = 0) -> DataFrame:
     """node and its join keys, once per task at most."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +212,7 @@ def _keys(texts: DataFrame, salt: int, shingle: int, percent: int) -> DataFrame:
                     continue
                 seen.add(node)
                 nodes.append(node)
-                keys.append(keys_of(s, bands).view(np.int64))
+                keys.append(keys_of(s, bands, deal).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["node", "keys"])
@@ -247,7 +292,30 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, salt: int, s
     return materialize(both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "join-links")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def _texts_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """A text of each node's hash; where several texts have that hash, all of them."""
+    return texts.join(broadcast_if_small(materialize(nodes.select("text_hash").distinct(), "join-hashes")), "text_hash", "left_semi").distinct()
+
+
+def _redealt(rows: DataFrame, nodes: DataFrame, texts: DataFrame, salt: int, shingle: int, percent: int, hot: int, deal: int) -> DataFrame | None:
+    """Rows key, node, component with the keys of more than hot nodes dealt again: a pair of such a
+    key that links shares one of another deal's keys too, so (key, other key) takes the key's place
+    wherever that leaves fewer pairs. None where no key is hot."""
+    crowded = materialize(rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > hot), "join-crowded")
+    if crowded.isEmpty():
+        return None
+    crowd = rows.join(broadcast_if_small(crowded), "key")
+    members = nodes.join(broadcast_if_small(materialize(crowd.select("node").distinct(), "join-crowd")), "node", "left_semi").select("node", "text_hash")
+    again = _keys(_texts_of(members, texts), salt, shingle, percent, deal).select("node", F.explode(F.array_distinct("keys")).alias("other")).distinct()
+    finer = materialize(crowd.join(again, "node").select("key", "m", F.xxhash64("key", "other", F.lit(deal)).alias("finer"), "node", "component"), "join-finer")
+    sizes = finer.groupBy("key", "m", "finer").agg(F.count("*").alias("k"), F.min("component").alias("a"), F.max("component").alias("b"))
+    better = materialize(sizes.groupBy("key", "m").agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("pairs")).where("pairs < double(m) * m").select("key"), "join-better")
+    kept = rows.join(better, "key", "left_anti")
+    open_finer = sizes.where("a <> b").select("finer")
+    return materialize(kept.unionByName(finer.join(better, "key", "left_semi").join(open_finer, "finer", "left_semi").select(F.col("finer").alias("key"), "node", "component")), "join-redealt")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Null and empty texts have no shingles and are linked with nothing: their component_id is their
@@ -274,17 +342,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     merged = materialize(components(links), "join-components")
 
     # Second round: nodes of a key in different components.
-    placed = buckets.join(merged, "node", "left").select("key", "center", "node", F.coalesce("component", "node").alias("component"))
+    placed = buckets.where("center <> node").join(merged, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    left = materialize(placed.join(open_keys, "key", "left_semi").join(nodes.select("node", "n", "fold"), "node"), "join-open")
-    x = left.select("key", F.col("node").alias("u"), F.col("component").alias("c"), F.col("center"), F.col("n").alias("n_u"), F.col("fold").alias("f_u"))
+    left = materialize(placed.join(open_keys, "key", "left_semi"), "join-open")
+    for deal in range(1, DEALS):
+        redealt = _redealt(left, nodes, texts, salt, shingle, percent, hot, deal)
+        if redealt is None:
+            break
+        left = redealt
+    left = materialize(left.join(nodes.select("node", "n", "fold"), "node"), "join-folded")
+    x = left.select("key", F.col("node").alias("u"), F.col("component").alias("c"), F.col("n").alias("n_u"), F.col("fold").alias("f_u"))
     y = left.select("key", F.col("node").alias("v"), F.col("component").alias("e"), F.col("n").alias("n_v"), F.col("fold").alias("f_v"))
     apart = F.aggregate(F.zip_with("f_u", "f_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, d: t + d)
     close = (
         (x["key"] == y["key"])
         & (F.col("c") < F.col("e"))
-        & (F.col("u") != F.col("center"))
-        & (F.col("v") != F.col("center"))
         & (F.col("n_u") * percent <= F.col("n_v") * 100)
         & (F.col("n_v") * percent <= F.col("n_u") * 100)
         & (apart * (100 + percent) <= (F.col("n_u") + F.col("n_v")) * (100 - percent))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ def shingles(text, k=4):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
-def component_of(rows, percent=85):
-    sets = [shingles(t) for _, t, *_ in rows]
+def component_of(rows, percent=85, k=4):
+    sets = [shingles(t, k) for _, t, *_ in rows]
     group = list(range(len(rows)))
 
     def top(x):
@@ -70,6 +71,55 @@ def test_pieces_never_miss_a_link():
             assert ngram_join.hamming(ngram_join.sketch_of(a), ngram_join.sketch_of(b)) <= len(a) + len(b) - 2 * same
 
 
+def test_crowded_keys_lose_no_link(spark, equal):
+    """Many texts around the threshold that share keys, with every key over the bound dealt again."""
+    from tests.llm.conftest import passage
+
+    r, common, rows = random.Random(3), passage(1, 60), []
+    for i in range(150):
+        own = passage(500 + i // 3, 30).split()
+        own[r.randrange(30)] = f"z{i}"
+        rows.append((i, f"{common} {' '.join(own)}" if i % 5 else f"{common} {passage(900 + i, 4)}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (2, 8, 4096):
+        got = ngram_join.near_duplicates(df, hot=hot).select("doc_id", "n_shingles", "component_id").collect()
+        equal(got, component_of(rows))
+
+
+def test_sets_of_every_size_share_a_key_with_any_set_they_link(spark):
+    """Random sets just over the threshold, sizes 1 to 3,000, at both of the limits in use."""
+    import numpy as np
+
+    g = np.random.default_rng(5)
+    for shingle_percent in (85, 80):
+        bands = ngram_join.Bands(shingle_percent)
+        for n in [*range(1, 60), *range(60, 3000, 97)]:
+            for _ in range(4):
+                a = np.unique(g.integers(0, 2**63, n).astype(np.uint64))
+                m = int(g.integers(n, n * 100 // shingle_percent + 1))
+                same = -(-shingle_percent * (n + m) // (100 + shingle_percent))
+                if same > min(n, m):
+                    continue
+                b = np.unique(np.concatenate([g.permutation(a)[:same], g.integers(0, 2**63, m - same).astype(np.uint64)]))
+                if 100 * same >= shingle_percent * (len(a) + len(b) - same) and not np.array_equal(a, b):
+                    for deal in (0, 1):
+                        assert len(np.intersect1d(ngram_join.keys_of(a, bands, deal), ngram_join.keys_of(b, bands, deal))), (n, m, same)
+
+
+def test_word_hashes_follow_the_words():
+    """Equal words have equal hashes and others don't, in slices of any size and in very long words."""
+    from ledgerlens.llm import words
+    from tests.llm.conftest import passage
+
+    text = "a b  aa ab ba A " + "é😀 \x00 x\x00 \x00x " + "x" * 70_000 + " " + "x" * 70_001 + " " + passage(3, 20_000) + "\n" + "y" * 65 + " " + "y" * 66
+    for split, hashed in ((lambda t: t.encode().lower().split(), words.spaced_hashes), (words.words_of, words.word_hashes)):
+        plain, h = split(text), hashed(text).tolist()
+        assert len(plain) == len(h)
+        assert len(set(plain)) == len(set(h)) == len(set(zip(plain, h, strict=True)))
+    for t in ("", " ", "\n\t", "x" * 70_000, " " * 70_000, "a" + " " * 70_000 + "b", "p" * 65_535 + " q", "p" * 65_536 + " q"):
+        assert len(words.spaced_hashes(t)) == len(t.split())
+
+
 def test_components(spark, equal):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (7, 7), (300, 301), (302, 301)]
     got = components(spark.createDataFrame(edges, "u long, v long")).collect()
@@ -125,6 +175,44 @@ def test_tiling(spark, empty):
     assert decontamination.contaminated(df, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_tiles_equal_plain_tiling():
+    import numpy as np
+
+    from ledgerlens.llm.words import word_hashes
+
+    r = random.Random(12)
+    for n in range(600):
+        few = r.choice([2, 3, 8])
+        item = [f"w{r.randrange(few)}" for _ in range(r.randint(5, 30))]
+        doc = [f"w{r.randrange(few)}" for _ in range(r.randint(0, 20))]
+        for _ in range(r.randint(0, 4)):
+            i, j = r.randrange(len(item)), r.randint(0, len(doc))
+            doc[j:j] = item[i : i + r.randint(1, 12)]
+        item, doc = " ".join(item), " ".join(doc)
+        tiles = decontamination.greedy_tiles(word_hashes(item), word_hashes(doc))
+        assert sum(k for _, _, k in tiles) / len(item.split()) == coverage(item, doc), (item, doc)
+        for s, d, k in tiles:
+            assert item.split()[s : s + k] == doc.split()[d : d + k]
+    one = np.full(20_000, 7, np.uint64)
+    began = time.time()
+    assert decontamination.greedy_tiles(one[:60], one) == [(0, 0, 60)]
+    decontamination.greedy_tiles(np.concatenate([one[:40], word_hashes("a b c d e f")]), np.concatenate([one[:4000], word_hashes("a b c d e")] * 5))
+    assert time.time() - began < 2
+
+
+def test_tiling_keeps_ids_and_pairs_of_common_phrases(spark):
+    """Ids over 2**53 beside null ids; a phrase that stands in every item; a very long text."""
+    from tests.llm.conftest import passage
+
+    big, phrase = 2**60 + 1, "answer the following question with one single word"
+    items = [(big + i, f"{phrase} {passage(200 + i, 18)}") for i in range(30)] + [(None, passage(300, 20)), (5, f"{phrase} please")]
+    docs = [(big, items[3][1]), (None, f"so {items[30][1]} x"), (big + 2, f"{passage(1, 40_000)} {items[4][1]} {passage(2, 10)}"), (None, phrase), (big + 4, f"{phrase} {passage(9, 30)}"), (None, None)]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    short = [(d, t) for d, t in docs if t is None or len(t) < 5000]
+    want = {(d, i) for d, t in short for i, item in items if coverage(item, t) >= 0.5} | {(big + 2, items[4][0])}
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) >= 5
+
+
 def test_toxicity(spark, docs, empty):
     import zlib
 
@@ -176,6 +264,37 @@ def test_warc(spark, tmp_path, equal):
     assert warc_store.warc_round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_of_any_urls_and_ids(spark, tmp_path, equal):
+    """Line breaks, header look-alikes, percent signs and separators in urls and ids; large ids beside
+    null ones; ids that read None."""
+    urls = ["http://a/\r\n\r\nx", "http://b/\r\nWARC-Type: revisit", "http://c/%0D%0A 100%", "\u2028\x85\x00: y", "", None, "http://é/😀"]
+    big = 2**60 + 1
+    for kind, ids in (("long", [big, None, big + 2, 7, 7, None, big + 4]), ("string", ["None", None, "a: b", "x\r\nContent-Length: 0", "%41", "", "é\n"])):
+        pages = [(i, u, f"<p>{n % 3}</p>") for n, (i, u) in enumerate(zip(ids, urls, strict=True))]
+        df = spark.createDataFrame(pages, f"page_id {kind}, url string, html string").repartition(2)
+        back = warc_store.read_archives(warc_store.write_archives(df, f"file://{tmp_path}/{kind}")).collect()
+        equal([(r.page_id, r.url) for r in back], [(None if i is None else str(i), u or "") for i, u, _ in pages])
+        firsts = {}
+        for i, _, h in pages:
+            firsts.setdefault(h, []).append(i)
+        want = [(i, "response" if (f := min((x for x in firsts[h] if x is not None), default=None)) is None or i == f else "revisit", None if f is None or i == f else f) for i, _, h in pages]
+        equal(warc_store.warc_round_trip(df).select("page_id", "record_type", "refers_to").collect(), want)
+        for path in sorted((tmp_path / kind).glob("*.warc.zst")):
+            with path.open("rb") as f:
+                heads = [r.partition(b"\r\n\r\n")[0].decode("utf-8", "surrogatepass") for r in warc_store.frames(f)]
+            assert all(("WARC-Refers-To: <urn:uuid:" in h) == ("WARC-Type: revisit" in h) for h in heads)
+
+
+def test_dictionary_of_large_records_only(spark, monkeypatch):
+    """Records beyond the sample's bound are sampled by their beginnings, and the sample is bounded."""
+    monkeypatch.setattr(warc_store, "SAMPLE_RECORD_CHARS", 500)
+    monkeypatch.setattr(warc_store, "SAMPLE_RECORDS", 20)
+    pages = [(i, "u", f"<html><body class='page'>{i * 7919} " + f"<p>line {i}</p>" * 100) for i in range(300)] + [(1000, "u", "<html>again" * 99)] * 300
+    sample = warc_store.sampled(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert 5 <= len(sample) <= 20 and all(len(b) <= 500 for b in sample)
+    assert warc_store.build_dictionary(sample)
+
+
 def test_pipeline_keeps_what_each_stage_should(spark, data):
     """Every stage by itself, on what the stage before it kept, against plain Python."""
     import corpus_pipeline as P
@@ -195,7 +314,7 @@ def test_pipeline_keeps_what_each_stage_should(spark, data):
     assert unique.columns == columns and ids(unique) == set(once.values())
     rows = [(i, t) for i, t in rows if i in set(once.values())]
     near = P.drop_near_copies(spark, unique, data).cache()
-    assert near.columns == columns and ids(near) == {i for i, _, c in component_of(rows) if i == c}
+    assert near.columns == columns and ids(near) == {i for i, _, c in component_of(rows, 80, 5) if i == c}
     items = [r.text for r in read("benchmark").collect()]
     grams = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())] for i in range(len(w) - 4)}
     seeds = [grams(t) for t in items]
