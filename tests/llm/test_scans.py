@@ -58,6 +58,27 @@ def test_normal_tail(spark):
         assert p == pytest.approx(NormalDist().cdf(-z), rel=1e-5, abs=1e-12)
 
 
+def test_many_spans_in_one_text_take_linear_time(spark):
+    """Null, repeated and large ids beside long texts; twice the spans take about twice the time."""
+    import time
+
+    r = random.Random(6)
+    token = lambda: "".join(r.choice("0123456789abcdef") for _ in range(25)) if r.random() < 0.5 else "".join(r.choice(secret_scan.ALPHABETS["base62"]) for _ in range(30))
+    big, took = 2**60 + 1, {}
+    for n in (1000, 8000, 16000):
+        text = " ".join(token() for _ in range(n)) + " password=abcdefgh"
+        df = spark.createDataFrame([(None, text), (big, "AKIA" + "A" * 16), (big, None), (None, "")], "doc_id long, text string")
+        began = time.time()
+        got = secret_scan.secret_scan(df).collect()
+        took[n] = time.time() - began
+        long = next(x for x in got if x.n_assign)
+        spans = secrets_of(text)
+        assert long.doc_id is None and long.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in spans).encode()).hexdigest()
+        assert long.spans.count("random") > 0.4 * n
+        assert sorted((x.doc_id is None, x.n_access) for x in got if x is not long) == [(False, 0), (False, 1), (True, 0)]
+    assert took[16000] < 3 * took[8000] and took[16000] < 20
+
+
 LICENSES = [
     None, "", "all rights reserved", "All  rights\nRESERVED, all-rights reserved!", "cc by cc by cc-by", "accby cc bye", "the general public license", "Licensed under the Apache License,\nVersion 2.0.",
     "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0.", "mit the license under", "é all rights reserved",
@@ -74,10 +95,12 @@ def licenses_of(text):
         places += at
         if at:
             base.add(label)
-    for s in range(0, max(1, len(words) - license_scan.STRIDE), license_scan.STRIDE):
-        block = set(words[s : s + license_scan.WINDOW])
-        for t, label in license_scan.TEMPLATES:
-            ws = set(t.split())
+    for t, label in license_scan.TEMPLATES:
+        ws, step = set(t.split()), 1
+        while step < len(t.split()):
+            step *= 2
+        for s in range(0, len(words) + 1, step):
+            block = set(words[s : s + 2 * step])
             if len(ws & block) >= license_scan.THRESHOLD * len(ws) - 1e-9:
                 found.add(label)
                 best = max(best, len(ws & block) / len(ws))
@@ -92,6 +115,35 @@ def test_licenses(spark, docs, rows, empty, equal):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_whole_license_texts_are_found_wherever_they_stand(spark):
+    """Every template, in capitals, wrapped and after any number of words; long given ones; no passage,
+    no label."""
+    from tests.llm.conftest import passage
+
+    own = [(passage(40, 300).upper(), "long"), (passage(41, 100), "hundred"), (passage(42, 9), "short")]
+    texts = [f"{passage(60 + i, 37 * i + 5)} {t.upper().replace(' of ', ' of' + chr(10) + '  ')}. {passage(90 + i, 11)}" for i, (t, _) in enumerate(license_scan.TEMPLATES)]
+    texts += ["i was in cc when they went by", "all employees have the rights of way which the hotel reserved", passage(1, 3000), None]
+    texts += [f"{passage(7, 900 + i)}\n{t.lower()}, {passage(8, 2000)}" for i, (t, _) in enumerate(own)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = len(license_scan.TEMPLATES)
+    got = {r.doc_id: r for r in license_scan.license_scan(df).collect()}
+    for i, (_, label) in enumerate(license_scan.TEMPLATES):
+        assert label in got[i].labels.split(",") and got[i].score == 1.0, (i, label, got[i])
+    for i in range(n, n + 7):
+        assert got[i].labels == "" and got[i].score == 0.0
+    given = {r.doc_id: r.labels for r in license_scan.license_scan(df, own).collect()}
+    assert [given[n + 4 + i] for i in range(3)] == ["long", "hundred", "short"] and not any(given[i] for i in (n + 2, n + 3))
+    with pytest.raises(ValueError):
+        license_scan.license_scan(df, [("all rights reserved", "reserved")])
+
+
+def test_licenses_of_null_repeated_and_large_ids(spark):
+    big = 2**60 + 1
+    rows = [(None, "all rights reserved"), (big, "cc by"), (big, None), (big + 2, "x " * 60_000 + "released under the MIT license.")]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "labels").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, 3, "reserved"), (big, 2, "cc-by"), (big, 0, ""), (big + 2, 60_005, "mit")], key=repr)
+
+
 PERSONAL = [
     None, "", "mail a.b+c@x-y.example.com. or a@b or @c.d or x@y@z.org", "1.2.3.4 256.1.1.1 1.2.3.4.5 0001.2.3.999 192.168.000.1", "4111 1111 1111 1111 and 4111111111111112 4111-1111-1111-1111-4",
     "+1 (988) 555-2485 call +12 +1234567890123456 +49 30 1234567.", "é😀 +1 (988) 555-2485 ü a@b.cd", "call (988) 555-2485 or 123-45-6789", "12345678901234567890123456789", "", "\x00\x1c 5500005555555559",
@@ -127,6 +179,40 @@ def test_personal_data(spark, empty):
     assert pii.pii(empty).count() == 0
 
 
+def test_trees_release_planted_spans_with_stated_precision_and_recall(spark):
+    """Spans of a seed that the trees haven't seen, half of them decoys, in one table: at least 95 % of what
+    is added is personal data, and at least 80 % of the personal data of each kind comes back."""
+    fresh = pii.planted(1500, seed=77)
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(fresh)], "doc_id long, text string")
+    got = {r.doc_id: {tuple(x.split(":")) for x in r.spans.split(",") if x} for r in pii.pii(df).collect()}
+    added = right = 0
+    found, there = {}, {}
+    for i, (text, kind, start, end, label) in enumerate(fresh):
+        base = {(pii.KINDS[k], str(s), str(e)) for s, k, e in personal_of(text)}
+        assert base <= got[i]
+        span = (pii.KINDS[kind], str(start), str(end))
+        added += len(got[i] - base)
+        right += label and span in got[i] - base
+        if label:
+            there[kind] = there.get(kind, 0) + 1
+            found[kind] = found.get(kind, 0) + (span in got[i])
+    print("precision", right / added, "recall", {pii.KINDS[k]: round(found[k] / there[k], 3) for k in there})
+    assert right >= 0.95 * added
+    assert all(found[k] >= 0.8 * there[k] for k in there), (found, there)
+
+
+def test_personal_data_of_null_repeated_and_large_ids(spark):
+    """Ids keep their values and rows their own spans, in a table with very long texts."""
+    big = 2**60 + 1
+    long = "word " * 60_000 + "mail a@b.cd now " + "1.2.3.4 " * 3000
+    rows = [(None, "write a@b.cd now"), (None, "nothing to see in here"), (big, "call +1 (988) 555-2485"), (big, "nothing at all"), (big + 2, long), (7, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = pii.pii(df).select("doc_id", "n_email", "n_ip", "n_phone").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, 1, 0, 0), (None, 0, 0, 0), (big, 0, 0, 1), (big, 0, 0, 0), (big + 2, 1, 3000, 0), (7, 0, 0, 0), (7, 0, 0, 0)], key=repr)
+    clean = [(r.doc_id, r.text) for r in pii.redacted(df).collect() if r.doc_id != big + 2]
+    assert sorted(clean, key=repr) == sorted([(None, "write [email] now"), (None, "nothing to see in here"), (big, "call [phone]"), (big, "nothing at all"), (7, ""), (7, "")], key=repr)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "write a@b.cd now"), (2, "nothing"), (3, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in pii.redacted(df).collect()} == {1: "write [email] now", 2: "nothing", 3: ""}
