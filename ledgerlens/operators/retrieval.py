@@ -8,13 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions.text import normalize, tokens
 from ledgerlens.sources.scratch import new_folder
 
 CHUNK_CHARS = 200
 K1, B = 1.2, 0.75
-QUERY_BLOCK = 1024
+QUERY_BLOCK, SCORE_BLOCK = 16_384, 1024
 
 
 def sections(docs: DataFrame, text: str = "text", separator: str = "\n") -> DataFrame:
@@ -71,36 +72,43 @@ def cached_embed(df: DataFrame, cache: DataFrame, text: str, model: Callable[[li
 
 def vector_topk(queries: DataFrame, items: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k items of greatest cosine similarity (to 6 digits, ties by id) for each query: query_id,
-    item_id, score, rank. A query isn't its own item. Queries go by blocks of QUERY_BLOCK, each a
-    matrix that is broadcast; a task keeps k rows per query and batch, so work grows with
-    queries x items and nothing else does. Items with an empty or null vector are left out."""
+    item_id, score, rank. A query isn't its own item. Queries are a written table in blocks of about
+    QUERY_BLOCK; one block at a time is a matrix that is broadcast, and its results are written. A task
+    keeps k rows per query and batch, so work grows with queries x items and nothing else does. Items
+    with an empty or null vector are left out."""
     spark = items.sparkSession
-    ids = [r[0] for r in queries.select(key).where(F.size(vector) > 0).orderBy(key).collect()]
-    parts = None
-    for i in range(0, len(ids), QUERY_BLOCK):
-        block = queries.where(F.col(key).between(ids[i], ids[min(i + QUERY_BLOCK, len(ids)) - 1])).select(key, vector).collect()
+    path, out = new_folder(spark, "vector-queries"), new_folder(spark, "vector-nearest")
+    asked = queries.where(F.size(vector) > 0).select(key, vector)
+    n = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked.repartition(n).withColumn("block", F.spark_partition_id()).write.partitionBy("block").parquet(path)
+    blocks = spark.read.schema(T.StructType([*asked.schema.fields, T.StructField("block", T.IntegerType())])).parquet(path)
+    for i in range(n):
+        block = blocks.where(F.col("block") == i).select(key, vector).orderBy(key).collect()
         names = np.array([r[0] for r in block], np.int64)
-        matrix = np.array([r[1] for r in block], np.float64)
+        matrix = np.array([r[1] for r in block], np.float64).reshape(len(block), -1)
         shared = spark.sparkContext.broadcast((names, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
 
         def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, matrix = shared.value
+            all_names, whole = shared.value
             for batch in batches:
                 v = np.stack(batch[vector].to_numpy()).astype(np.float64)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 own = batch[key].to_numpy()
-                s = np.round((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)) @ matrix.T, 6)
-                s[own[:, None] == names[None, :]] = -2.0
-                best = np.lexsort((np.broadcast_to(own[:, None], s.shape), -s), axis=0)[:k]
-                q = np.broadcast_to(names[None, :], best.shape)
-                out = pd.DataFrame({"query_id": q.ravel(), "item_id": own[best].ravel(), "score": np.take_along_axis(s, best, 0).ravel()})
-                yield out[out["score"] > -2.0]
+                for at in range(0, len(all_names), SCORE_BLOCK):
+                    names = all_names[at : at + SCORE_BLOCK]
+                    s = np.round(v @ whole[at : at + SCORE_BLOCK].T, 6)
+                    s[own[:, None] == names[None, :]] = -2.0
+                    best = np.lexsort((np.broadcast_to(own[:, None], s.shape), -s), axis=0)[:k]
+                    q = np.broadcast_to(names[None, :], best.shape)
+                    out = pd.DataFrame({"query_id": q.ravel(), "item_id": own[best].ravel(), "score": np.take_along_axis(s, best, 0).ravel()})
+                    yield out[out["score"] > -2.0]
 
         part = items.where(F.size(vector) > 0).select(key, vector).mapInPandas(score, "query_id long, item_id long, score double")
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        return spark.createDataFrame([], "query_id long, item_id long, score double, rank int")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
-    return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
+        part = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        part.write.mode("append").parquet(out)
+        shared.unpersist()
+    return spark.read.schema(part.schema).parquet(out)
 
 
 def _small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
