@@ -5,10 +5,11 @@ sorted and get integer names; then adjacent pairs of names are sorted and named,
 until each document has one name. Two documents have the same (block count, name) exactly if
 their normalised texts are identical.
 
-At the block level the sort key is (64-bit fingerprint, content). A fingerprint that occurs in one
-place needs no content beside it: blocks that differ in fingerprint differ. Contents are made
-distinct before their shuffle, and ranked under fingerprints that occur more than once, so that two
-blocks with one fingerprint still get two names and names are free of collisions.
+At the block level the sort key is (64-bit fingerprint, rank of the content under it). A fingerprint
+that occurs in one place needs no content beside it: blocks that differ in fingerprint differ. Only
+blocks under fingerprints that occur again are compared by content; where these fingerprints are few
+enough to broadcast, the others' contents don't leave their tasks. Contents are made distinct before
+their shuffle. So two blocks with one fingerprint still get two names and names are free of collisions.
 
 All other shuffles carry integers; hot names (one block in a third of all rows) are met by map-side partial
 aggregation on the naming side and, as both sides of each join back are read from written tables,
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import SPACE, materialize, needed, text_or_empty
+from ledgerlens.llm.common import SPACE, broadcast_if_small, materialize, needed, text_or_empty
 from ledgerlens.sources.tables import table
 
 BLOCK_CHARS = 4096
@@ -39,33 +40,38 @@ def _named(keys: DataFrame, columns: list[str], name: str) -> DataFrame:
     return materialize(ordered.withColumn("name", F.monotonically_increasing_id()), name)
 
 
+def _contents(blocks: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The distinct (print, block) under repeated fingerprints, of rows print, block."""
+    few = broadcast_if_small(repeated)
+    if few is not repeated:
+        return blocks.join(few, "print", "left_semi").distinct()
+    # Too many to broadcast: distinct first, so that a hot block travels once a task.
+    return blocks.distinct().join(repeated, "print", "left_semi")
+
+
 def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Columns rid (one per row), doc_id, text_sha256, n_blocks, name. Rows have equal
     (n_blocks, name) exactly if their normalised texts are equal; null texts count as empty."""
     texts = needed(docs, "doc_id", "text").select("doc_id", F.regexp_replace(text_or_empty(F.col("text")), SPACE, " ").alias("norm"))
     cut = texts.select("doc_id", F.sha2(F.col("norm"), 256).alias("text_sha256"), _blocks(F.col("norm"), block_chars).alias("blocks"))
-    rows = materialize(
-        cut.select("doc_id", "text_sha256", F.transform("blocks", lambda b: F.xxhash64(b)).alias("prints")).withColumn("rid", F.monotonically_increasing_id()),
-        "dedup-rows",
-    )
-    places = rows.select("rid", "doc_id", "text_sha256", F.posexplode("prints").alias("pos", "print"))
+    printed = cut.withColumn("prints", F.transform("blocks", lambda b: F.xxhash64(b))).withColumn("rid", F.monotonically_increasing_id())
+    rows = materialize(printed.drop("blocks"), "dedup-rows")
+    places = rows.select("rid", F.posexplode("prints").alias("pos", "print"))
 
     # Blocks whose fingerprint occurs again: rank the different contents under it.
-    repeated = places.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    contents = cut.select(F.explode("blocks").alias("block")).select(F.xxhash64("block").alias("print"), "block").distinct()
-    per_print = contents.join(repeated, "print", "left_semi").groupBy("print").agg(F.sort_array(F.collect_list("block")).alias("contents"))
+    repeated = materialize(places.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "dedup-repeated")
+    contents = _contents(cut.select(F.explode("blocks").alias("block")).select(F.xxhash64("block").alias("print"), "block"), repeated)
+    per_print = contents.groupBy("print").agg(F.sort_array(F.collect_list("block")).alias("contents"))
     clashes = materialize(per_print.where(F.size("contents") > 1), "dedup-clashes")
     if clashes.isEmpty():
-        leveled = places.select("rid", "pos", "print", F.lit(0).alias("k"))
+        leveled = places.withColumn("k", F.lit(0))
     else:
-        ranks = (
-            cut.select("doc_id", "text_sha256", F.posexplode("blocks").alias("pos", "block"))
-            .withColumn("print", F.xxhash64("block"))
-            .join(clashes, "print")
-            .select("doc_id", "text_sha256", "pos", F.array_position("contents", F.col("block")).alias("k"))
-            .distinct()
-        )
-        leveled = places.join(ranks, ["doc_id", "text_sha256", "pos"], "left").select("rid", "pos", "print", F.coalesce("k", F.lit(0)).alias("k"))
+        # Seldom: rows are written anew with their blocks, so that a block and its place have one row id.
+        whole = materialize(printed, "dedup-rows")
+        rows = whole.drop("blocks")
+        placed = whole.select("rid", F.posexplode(F.arrays_zip("prints", "blocks")).alias("pos", "b")).select("rid", "pos", F.col("b.prints").alias("print"), F.col("b.blocks").alias("block"))
+        ranked = placed.join(clashes, "print", "left").withColumn("k", F.coalesce(F.array_position("contents", F.col("block")), F.lit(0)))
+        leveled = materialize(ranked.select("rid", "pos", "print", "k"), "dedup-ranked")
 
     names = _named(leveled.select("print", "k"), ["print", "k"], "dedup-names")
     level = materialize(leveled.join(names, ["print", "k"]).select("rid", "pos", "name"), "dedup-level")

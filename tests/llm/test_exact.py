@@ -33,6 +33,23 @@ def test_blocks_with_one_fingerprint_keep_their_names(spark, monkeypatch, equal)
     equal(got, [(1, 1), (2, 2), (3, 1), (4, 4), (5, 5)])
 
 
+def test_clashes_beside_null_and_large_ids(spark, monkeypatch, equal):
+    """Null and repeated ids on the path of clashing fingerprints, and more repeated prints than may be broadcast."""
+    from pyspark.sql import functions as F
+
+    big = 2**60 + 1
+    rows = [(None, "aaabbb"), (None, "aaaccc"), (big, "aaabbb"), (big + 2, "aaaccc"), (7, "x"), (7, "y"), (big + 4, "aaabbb")]
+    want = [(None, big, 3), (None, big + 2, 2), (big, big, 3), (big + 2, big + 2, 2), (7, 7, 1), (7, 7, 1), (big + 4, big, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for clash, shuffled in ((False, False), (False, True), (True, False), (True, True)):
+        with monkeypatch.context() as m:
+            if clash:
+                m.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(1).cast("long"))
+            if shuffled:
+                m.setattr(exact_dedup, "broadcast_if_small", lambda d: d)
+            equal(exact_dedup.exact_dedup(df, 3).select("doc_id", "keep_id", "group_size").collect(), want)
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix(docs, block_words=4).collect()
     count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
