@@ -94,3 +94,9 @@ def open_disputes(transactions: DataFrame, existing: DataFrame) -> DataFrame:
     asking twice, or for a disputed transaction, opens no other."""
     fresh = transactions.join(existing.select("transaction_id"), "transaction_id", "left_anti").groupBy("transaction_id").agg(F.min_by(F.struct("customer_id", "reason_code"), "ts").alias("first"), F.min("ts").alias("created_at"))
     return fresh.select(F.concat(F.lit("DSP-"), "transaction_id").alias("dispute_id"), "first.customer_id", "transaction_id", "first.reason_code", F.lit("OPEN").alias("status"), "created_at")
+
+
+def rejects(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Rows for which some rule doesn't hold (null doesn't), with the names of those rules in their order."""
+    found = F.array_compact(F.array(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]))
+    return df.withColumn("broken", F.array_join(found, ",")).where("broken <> ''")

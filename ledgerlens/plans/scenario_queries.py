@@ -337,6 +337,27 @@ def tl6_transactions(spark, d):
     return open_disputes(owned.withColumn("reason_code", F.when(F.col("amount") > 200000, "amount").otherwise("unrecognized")), existing)
 
 
+@query(
+    "tl4_own_card_status",
+    with_views("card call", "SELECT DISTINCT customer_id, card_id, status FROM card WHERE customer_id IN (SELECT customer_id FROM call WHERE authenticated)"),
+)
+def tl4_own(spark, d):
+    """The cards of authenticated customers only: a card is found by its owner, never by its id alone."""
+    from ledgerlens.operators.lookups import scoped
+    from ledgerlens.sources.domain import cards
+
+    return scoped(cards(spark, d), calls(spark, d).where("authenticated"), "customer_id").select("customer_id", "card_id", "status").distinct()
+
+
+@query("tl23_rejects", "SELECT o_orderkey, array_to_string(list_filter([CASE WHEN NOT (o_totalprice > 1000) THEN 'amount' END, CASE WHEN NOT (o_orderstatus IN ('F', 'O')) THEN 'status' END, CASE WHEN NOT (o_orderpriority IS NOT NULL AND o_orderpriority <> '5-LOW') THEN 'priority' END], lambda x: x IS NOT NULL), ',') AS broken FROM orders WHERE NOT (o_totalprice > 1000) OR NOT (o_orderstatus IN ('F', 'O')) OR NOT (o_orderpriority IS NOT NULL AND o_orderpriority <> '5-LOW')")
+def tl23_rejects(spark, d):
+    """Rows that break a rule, with the rules they break."""
+    from ledgerlens.operators.lookups import rejects
+
+    rules = {"amount": F.col("o_totalprice") > 1000, "status": F.col("o_orderstatus").isin("F", "O"), "priority": F.col("o_orderpriority").isNotNull() & (F.col("o_orderpriority") != "5-LOW")}
+    return rejects(table(spark, d, "orders"), rules).select("o_orderkey", "broken")
+
+
 # The demo profile.
 DEMO = {"most_customer": 100, "calls_an_hour": 2, "tools": ["export_ledger"]}
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.plans.registry import query
 from ledgerlens.sources.domain import with_views
 from ledgerlens.sources.scratch import new_folder
+from ledgerlens.sources.voice import STAGES, stage_sql, stage_stream
 from ledgerlens.streaming import sessions as S
 
 CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
@@ -72,6 +73,26 @@ def st2_timers(spark, d):
     return _run(spark, S.timed_sessions(S.event_stream(spark, d)), rocksdb=True)
 
 
+_NUMBER = "CASE stage " + " ".join(f"WHEN '{name}' THEN {i}" for i, (name, *_) in enumerate(STAGES)) + " END"
+_STATE = "CASE WHEN stage = 'TOOL_FAILED' THEN CASE WHEN failures > 1 THEN 'ESCALATING' ELSE 'FAILED' END WHEN stage = 'RESPONSE_READY' THEN CASE WHEN event = 'purchase' THEN 'WAITING_FOR_CONFIRMATION' END " + " ".join(f"WHEN stage = '{a}' THEN '{b}'" for a, b in S.STATE_OF.items()) + " END"
+
+
+@query(
+    "st1_thirteen_states",
+    stage_sql(
+        f""", o AS (SELECT user_id, turn_id, stage, event, at_ms, {_NUMBER} AS no FROM stages), g AS (SELECT *, at_ms - lag(at_ms) OVER (PARTITION BY user_id ORDER BY at_ms, turn_id, no) AS gap FROM o),
+n AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 1800000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY at_ms, turn_id, no ROWS UNBOUNDED PRECEDING) AS sn FROM g),
+f AS (SELECT *, sum(CASE WHEN stage = 'TOOL_FAILED' THEN 1 ELSE 0 END) OVER w AS failures, row_number() OVER w AS place, count(*) OVER (PARTITION BY user_id, sn) AS places, max(sn) OVER (PARTITION BY user_id) AS sessions FROM n WINDOW w AS (PARTITION BY user_id, sn ORDER BY at_ms, turn_id, no ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, coalesce(last_value({_STATE} IGNORE NULLS) OVER (PARTITION BY user_id, sn ORDER BY place ROWS UNBOUNDED PRECEDING), 'READY') AS state FROM f), l AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id, sn ORDER BY place), 'READY') AS before FROM s)
+SELECT user_id, turn_id, stage, before AS from_state, state AS to_state FROM l WHERE before <> state UNION ALL SELECT user_id, turn_id, 'SESSION', 'CREATED', 'CONNECTING' FROM l WHERE place = 1 UNION ALL SELECT user_id, turn_id, 'SESSION', 'CONNECTING', 'READY' FROM l WHERE place = 1
+UNION ALL SELECT user_id, turn_id, 'SESSION', state, 'ENDED' FROM l WHERE place = places AND (sn < sessions OR at_ms + 1800000 <= (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM events))"""
+    ).replace("\n, o AS", ", o AS"),
+)
+def st1_thirteen(spark, d):
+    """Every change of state of every voice session, by the state machine over a stream."""
+    return _run(spark, S.voice_states(stage_stream(S.event_stream(spark, d))), rocksdb=True)
+
+
 @query("st6_transcripts", "SELECT conv_id, role, arg_max(text, turn) AS text, count(*) AS revisions FROM conversations GROUP BY 1, 2")
 def st6(spark, d):
     folder = new_folder(spark, "stream")

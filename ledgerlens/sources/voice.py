@@ -56,3 +56,10 @@ STAGE_SQL = f"{SQL['trace']}, stages AS ({_of_turn})"
 
 def stage_sql(body: str) -> str:
     return f"WITH {STAGE_SQL}\n{body}"
+
+
+def stage_stream(events: DataFrame) -> DataFrame:
+    """Stage events of a stream of events: user_id, turn_id, ts, event_type, no, stage, at_ms."""
+    each = F.array(*[F.when(F.expr(cond), F.struct(F.lit(i).alias("no"), F.lit(name).alias("stage"), (F.lit(base) + F.lit(per_k) * F.col("k")).cast("long").alias("after"))) for i, (name, base, per_k, cond) in enumerate(STAGES)])
+    e = events.withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("event", F.col("event_type"))
+    return e.select("user_id", F.col("event_id").alias("turn_id"), "ts", "event_type", F.explode(F.array_compact(each)).alias("s")).select("user_id", "turn_id", "ts", "event_type", "s.no", "s.stage", (F.unix_millis("ts") + F.col("s.after")).alias("at_ms"))

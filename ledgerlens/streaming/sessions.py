@@ -148,6 +148,71 @@ class SessionClock(StatefulProcessor):
         pass
 
 
+class VoiceMachine(StatefulProcessor):
+    """All 13 states of a voice session, from stage events. A session starts CREATED, CONNECTING, READY; each
+    stage leads to the state that STATE_OF names, or to none; a tool that fails again in a session leads to
+    ESCALATING. Silence of ``gap_ms`` ends a session, by the next event or by a timer, and its state goes.
+    Emits each change of state."""
+
+    def __init__(self, gap_ms: int):
+        self.gap = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", "state string, last long, turn long, failures int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state, last, turn, failures = self.session.get() if self.session.exists() else (None, None, None, 0)
+        out = []
+        for row in pd.concat(list(rows)).sort_values(["at_ms", "turn_id", "no"]).itertuples():
+            if state is not None and row.at_ms - last >= self.gap:
+                out.append((key[0], turn, "SESSION", state, "ENDED"))
+                state = None
+            if state is None:
+                out += [(key[0], row.turn_id, "SESSION", "CREATED", "CONNECTING"), (key[0], row.turn_id, "SESSION", "CONNECTING", "READY")]
+                state, failures = "READY", 0
+            after = "WAITING_FOR_CONFIRMATION" if row.stage == "RESPONSE_READY" and row.event_type == "purchase" else STATE_OF.get(row.stage, state)
+            if row.stage == "TOOL_FAILED":
+                failures += 1
+                after = "ESCALATING" if failures > 1 else "FAILED"
+            if after != state:
+                out.append((key[0], row.turn_id, row.stage, state, after))
+            state, last, turn = after, int(row.at_ms), int(row.turn_id)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.session.update((state, last, turn, failures))
+        self.handle.registerTimer(last + self.gap)
+        yield pd.DataFrame(out, columns=["user_id", "turn_id", "stage", "from_state", "to_state"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state, _, turn, _ = self.session.get()
+        self.session.clear()
+        yield pd.DataFrame([(key[0], turn, "SESSION", state, "ENDED")], columns=["user_id", "turn_id", "stage", "from_state", "to_state"])
+
+    def close(self) -> None:
+        pass
+
+
+# The state that a stage leads to.
+STATE_OF = {
+    "USER_SPEECH_STARTED": "USER_SPEAKING",
+    "USER_SPEECH_ENDED": "PROCESSING",
+    "TOOL_STARTED": "TOOL_EXECUTION",
+    "TOOL_COMPLETED": "PROCESSING",
+    "TTS_FIRST_AUDIO": "AGENT_SPEAKING",
+    "INTERRUPTION_DETECTED": "INTERRUPTED",
+    "TTS_CANCELLED": "LISTENING",
+    "TURN_COMPLETED": "LISTENING",
+}
+
+
+def voice_states(stages: DataFrame, gap_minutes: int = 30) -> DataFrame:
+    """stages: user_id, turn_id, ts, event_type, no, stage, at_ms. Needs the RocksDB provider."""
+    return stages.withWatermark("ts", WATERMARK).groupBy("user_id").transformWithStateInPandas(
+        VoiceMachine(gap_minutes * 60_000), outputStructType="user_id long, turn_id long, stage string, from_state string, to_state string", outputMode="Append", timeMode="EventTime"
+    )
+
+
 def timed_sessions(stream: DataFrame, gap_minutes: int = 30, most_minutes: int = 480) -> DataFrame:
     """Ended sessions: user_id, start_ms, end_ms, n_events, reason. Needs the RocksDB provider."""
     timed = stream.withWatermark("ts", WATERMARK).withColumn("ms", F.unix_millis("ts"))
