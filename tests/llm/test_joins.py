@@ -209,7 +209,7 @@ def test_tiling_keeps_ids_and_pairs_of_common_phrases(spark):
     docs = [(big, items[3][1]), (None, f"so {items[30][1]} x"), (big + 2, f"{passage(1, 40_000)} {items[4][1]} {passage(2, 10)}"), (None, phrase), (big + 4, f"{phrase} {passage(9, 30)}"), (None, None)]
     got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     short = [(d, t) for d, t in docs if t is None or len(t) < 5000]
-    want = {(d, i) for d, t in short for i, item in items if coverage(item, t) >= 0.5} | {(big + 2, items[4][0])}
+    want = {(d, i) for d, t in short for i, item in items if coverage(item, t) >= 0.5} | {(big + 2, items[4][0]), (big + 2, 5)}
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) >= 5
 
 
@@ -242,6 +242,63 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity(empty, none).count() == 0
 
 
+def plain_ftrl(rows, epochs=5, alpha=2.0, beta=1.0, l1=12.0, l2=1.0):
+    """FTRL-proximal over named features, one coordinate at a time."""
+    import math
+
+    z, n, weight = {}, {}, lambda z, n, l1, l2: 0.0 if abs(z) <= l1 else -(z - math.copysign(l1, z)) / ((beta + math.sqrt(n)) / alpha + l2)
+    for _ in range(epochs):
+        for names, label in rows:
+            w = {f: weight(z.get(f, 0.0), n.get(f, 0.0), *((0.0, 0.0) if f == "bias" else (l1, l2))) for f in [*names, "bias"]}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - label
+            for f in w:
+                before = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / alpha * w[f]
+                n[f] = before + g * g
+    return {f: weight(z[f], n[f], *((0.0, 0.0) if f == "bias" else (l1, l2))) for f in z}
+
+
+def named(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {(1, x) for x in w} | {(2, x, y) for x, y in zip(w, w[1:], strict=False)} | {(3, x, y) for x, y in zip(w, w[2:], strict=False)}
+
+
+def test_scores_equal_plain_ftrl(spark):
+    """Scores of every text, held-out, empty, null, long and repeated ones too, against named features."""
+    import math
+    import zlib
+
+    r, vocabulary = random.Random(21), [f"w{i}" for i in range(40)]
+    rows, labels = [], []
+    for i in range(300):
+        bad = i % 3 == 0
+        words = r.choices(vocabulary, k=r.randint(3, 15)) + (["vile", "scum"] if bad else [])
+        rows.append((2**60 + i, " ".join(words).title()))
+        labels.append((2**60 + i, int(bad)))
+    rows += [(None, "vile scum w1"), (1, None), (2, ""), (3, "w1 " * 20_000 + "vile"), (2**60 + 4, "w2 w3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    toxic = spark.createDataFrame([*labels, (None, 1)], "doc_id long, toxic int")
+    learnt = [(i, t) for i, t in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    known = spark.createDataFrame([(i,) for i, _ in learnt], "doc_id long").select("doc_id", F.xxhash64("doc_id").alias("place")).collect()
+    hashed = {x.text: x.h for x in docs.where("text is not null").select("text", F.xxhash64("text").alias("h")).collect()}
+    texts = {}
+    for i, t in rows:
+        if i is not None and t is not None and (i not in texts or hashed[t] < hashed[texts[i]]):
+            texts[i] = t
+    of = dict(learnt)
+    order = [x.doc_id for x in sorted(known, key=lambda x: x.place)]
+    w = plain_ftrl([(sorted(named(texts[i])), of[i]) for i in order])
+    want = lambda t: 1 / (1 + math.exp(-max(-35, min(35, sum(w.get(f, 0.0) for f in named(t)) + w["bias"]))))
+    got = toxicity.toxicity(docs, toxic).collect()
+    assert len(got) == len(rows)
+    key = lambda x: (repr(x[0]), round(x[1], 9))
+    plain = sorted(((i, want(t)) for i, t in rows), key=key)
+    for a, b in zip(sorted(((x.doc_id, x.score) for x in got), key=key), plain, strict=True):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-6, (a, b)
+    few = toxicity.train(docs, toxic, max_features=200)
+    assert len(few[0]) < len(toxicity.train(docs, toxic)[0])
+
+
 def test_warc(spark, tmp_path, equal):
     import base64
     import hashlib
