@@ -15,12 +15,14 @@ kind random. The procedure's ranks come from a histogram of p-values per band (a
 bins, p rounded up to its bin's edge), so that no task sorts all tokens.
 
 Everything is DataFrame operations. Positions come from marking matches in the text with a
-character that the text no longer holds, and adding up the lengths of the parts between marks.
+character that the text no longer holds, and adding up the lengths of the parts between marks: in
+groups of GROUP parts, so that the work grows with the number of matches and hardly with its square.
+Which tokens lie outside base spans comes from running greatest and least bounds over a text's spans.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import materialize, needed, text_or_empty
@@ -44,22 +46,45 @@ ALPHABETS = {
 Q = 0.05
 BANDS = (20, 24, 32, 40, 64, 128, 512)
 BINS_PER_E, BINS = 32, 2048
+GROUP = 128
 MARK, CUT, NEITHER = "\u0001", "\u0002", "\u0003"
 
 
-def _spans(text: Column, pattern: str, replacement: str) -> Column:
-    """Leftmost matches that don't overlap, as array<struct<start,end,value>>. What stands after a
-    CUT in the replacement is the value."""
-    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(replacement)), MARK)
+def _with_spans(df: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
+    """df (with a column text) and for each (name, pattern, replacement) a column of that name: the
+    leftmost matches that don't overlap, as array<struct<start,end,value>>. What stands after a CUT in
+    the replacement is the value. The steps are columns of their own, so that each is computed once."""
+    names = [n for n, _, _ in patterns]
+    kept = [c for c in df.columns if c != "text"]
+    df = df.select(*kept, *[F.split(F.regexp_replace("text", F.lit(p), F.lit(r)), MARK).alias(f"{n}_parts") for n, p, r in patterns])
+    parts = [f"{n}_parts" for n in names]
+    df = df.select(*kept, *parts, *[F.transform(f"{n}_parts", lambda p: F.length(F.replace(p, F.lit(CUT), F.lit("")))).alias(f"{n}_lens") for n in names])
+    df = df.select(*kept, *parts, *[f"{n}_lens" for n in names], *[_group_starts(f"{n}_lens").alias(f"{n}_from") for n in names])
+    return df.select(*kept, *[_placed(n).alias(n) for n in names])
+
+
+def _group_starts(lens: str) -> Column:
+    """Where each group of GROUP parts starts in the text, and where the last ends."""
+    groups = F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / GROUP).cast("int"))
+    sums = F.transform(groups, lambda g: F.aggregate(F.slice(lens, g * GROUP + 1, GROUP), F.lit(0), lambda t, x: t + x))
+    return F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def _placed(name: str) -> Column:
+    """Every second part is a match."""
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    parts, lens, starts = F.col(f"{name}_parts"), F.col(f"{name}_lens"), F.col(f"{name}_from")
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(F.replace(part, F.lit(CUT), F.lit("")))
-        found = F.struct(acc["at"].alias("start"), end.alias("end"), F.substring_index(part, CUT, -1).alias("value"))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
+    def group(g: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            end = acc["at"] + F.get(lens, i)
+            found = F.struct(acc["at"].alias("start"), end.alias("end"), F.substring_index(F.get(parts, i), CUT, -1).alias("value"))
+            return F.struct(end.alias("at"), F.when(i % 2 == 1, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("out"))
-    return F.when(F.size(parts) > 1, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(empty)
+        last = F.least(F.size(parts), (g + 1) * GROUP) - 1
+        return F.aggregate(F.sequence(g * GROUP, last), F.struct(F.get(starts, g).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    return F.when(F.size(parts) > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.size(starts) - 2), group))).otherwise(empty)
 
 
 def _upper_tail(z: Column) -> Column:
@@ -127,8 +152,6 @@ def battery(tokens: DataFrame) -> DataFrame:
 def false_discovery_bins(tested: DataFrame, q: float = Q) -> DataFrame:
     """tested: band, bin. The lowest bin of each band that Benjamini and Hochberg dismiss; bands
     without one are absent. Holds at most BINS rows a band."""
-    from pyspark.sql import Window
-
     counts = tested.groupBy("band", "bin").agg(F.count("*").alias("c"))
     down = Window.partitionBy("band").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy("band")
@@ -151,13 +174,8 @@ def secret_spans(docs: DataFrame, q: float = Q) -> DataFrame:
     """One row per document: rid, doc_id and spans, array<struct<start, kind_no, end>> in order of
     start, then kind. Texts are whole; null counts as empty."""
     texts = needed(docs, "doc_id", "text").select("doc_id", F.replace(F.replace(text_or_empty(F.col("text")), F.lit(MARK), F.lit(NEITHER)), F.lit(CUT), F.lit(NEITHER)).alias("text"))
-    found = texts.select(
-        "doc_id",
-        F.filter(_spans(F.col("text"), ASSIGN, f"{MARK}$1{CUT}$2{MARK}"), lambda s: F.length(s["value"]) >= 6).alias("assign"),
-        _spans(F.col("text"), ACCESS, f"{MARK}$1{MARK}").alias("access"),
-        _spans(F.col("text"), HEX, f"{MARK}$1{MARK}").alias("hex"),
-        _spans(F.col("text"), TOKEN, f"{MARK}$1{MARK}").alias("tokens"),
-    ).withColumn("rid", F.monotonically_increasing_id())
+    found = _with_spans(texts, [("assign", ASSIGN, f"{MARK}$1{CUT}$2{MARK}"), ("access", ACCESS, f"{MARK}$1{MARK}"), ("hex", HEX, f"{MARK}$1{MARK}"), ("tokens", TOKEN, f"{MARK}$1{MARK}")])
+    found = found.withColumn("assign", F.filter("assign", lambda s: F.length(s["value"]) >= 6)).withColumn("rid", F.monotonically_increasing_id())
     found = materialize(found, "secret-found")
 
     def numbered(kind_no: int) -> Column:
@@ -166,8 +184,15 @@ def secret_spans(docs: DataFrame, q: float = Q) -> DataFrame:
     base = F.concat(*[numbered(i) for i in range(3)])
     rows = found.select("rid", "doc_id", "tokens", F.array_sort(base).alias("base"))
 
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    tokens = rows.where(F.size("tokens") > 0).select("rid", F.explode(free).alias("t")).select("rid", "t.start", "t.end", F.rtrim("t.value", F.lit("=")).alias("token"))
+    some = rows.where(F.size("tokens") > 0)
+    spans = some.select("rid", F.explode("tokens").alias("t")).select("rid", "t.start", "t.end", "t.value", F.lit(1).alias("is_token"))
+    spans = spans.unionByName(some.select("rid", F.explode("base").alias("b")).select("rid", "b.start", "b.end", F.lit(None).cast("string").alias("value"), F.lit(0).alias("is_token")))
+    down = Window.partitionBy("rid").orderBy(F.col("start").desc(), F.col("is_token").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy("rid").orderBy("start", "is_token").rowsBetween(Window.unboundedPreceding, 0)
+    of_base = lambda c: F.when(F.col("is_token") == 0, F.col(c))
+    placed = spans.withColumn("next", F.min(of_base("start")).over(down)).withColumn("reach", F.max(of_base("end")).over(up))
+    free = placed.where("is_token = 1 and coalesce(reach, 0) <= start and coalesce(next, end) >= end")
+    tokens = free.select("rid", "start", "end", F.rtrim("value", F.lit("=")).alias("token"))
     tested = materialize(battery(tokens).select("rid", "start", "end", _band(F.col("n")).alias("band"), _bin(F.col("p")).alias("bin")), "secret-tested")
     bars = false_discovery_bins(tested, q)  # at most one row per band
     random = (
