@@ -31,15 +31,27 @@ def chunks(docs: DataFrame, text: str = "text", size: int = CHUNK_CHARS, overlap
     return docs.select("*", F.explode(starts).alias("chunk_index")).withColumn("chunk", F.substring(F.col(text), F.col("chunk_index") * step + 1, F.lit(size))).drop(text)
 
 
-def current_version(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def current_version(df: DataFrame, key: str, best: Column) -> DataFrame:
+    """Of each key the row with the greatest best, which tells rows apart. Aggregated before the shuffle, so
+    a key with very many rows is no task's burden."""
+    return df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), best).alias("_row")).select(key, "_row.*")
 
 
 def version_changes(df: DataFrame, key: str, version: str, value: str) -> DataFrame:
-    """Each version with whether its value differs from the version before."""
-    w = Window.partitionBy(key).orderBy(version)
-    return df.withColumn("changed", ~F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1))
+    """key, version, and whether the value differs from that of the version before. Rows are cut by ranges
+    of (key, version), so that a key with very many versions takes many tasks; each range's first row
+    looks at the last row of the range before."""
+    cut = df.select(key, version, value).repartitionByRange(F.col(key), F.col(version)).withColumn("_range", F.spark_partition_id())
+    path = new_folder(df.sparkSession, "versions")
+    cut.write.parquet(path)
+    cut = df.sparkSession.read.schema(cut.schema).parquet(path)
+    w = Window.partitionBy(key, "_range").orderBy(version)
+    inside = cut.withColumn("_n", F.row_number().over(w)).withColumn("_lag", F.lag(value).over(w))
+    ends = cut.groupBy(key, "_range").agg(F.struct(F.max_by(value, version).alias("value")).alias("last"))
+    before = ends.select(F.col(key).alias("_key"), F.col("_range").alias("_at"), F.lag("last").over(Window.partitionBy(key).orderBy("_range")).alias("_before"))
+    both = inside.join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
+    earlier, first = F.when(F.col("_n") > 1, F.col("_lag")).otherwise(F.col("_before.value")), (F.col("_n") == 1) & F.col("_before").isNull()
+    return both.select(key, version, (~F.col(value).eqNullSafe(earlier) & ~first).alias("changed"))
 
 
 def compare_versions(before: DataFrame, after: DataFrame) -> DataFrame:

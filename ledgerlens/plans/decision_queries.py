@@ -90,20 +90,20 @@ ERROR_OF_K = "CASE k % 6 WHEN 0 THEN 'TransientDependencyError' WHEN 1 THEN 'Tim
     with_views(
         "call",
         f"""SELECT call_id, error, attempt, CASE WHEN error IN ('TransientDependencyError', 'TimeoutError') THEN CASE WHEN attempt > 2 THEN 'escalate' ELSE 'retry' END WHEN error = 'AuthorizationError' THEN 'deny' WHEN error = 'NotFoundError' THEN 'clarify' ELSE 'ask_user' END AS action
-FROM (SELECT call_id, {ERROR_OF_K} AS error, CAST(row_number() OVER (PARTITION BY customer_id, tool, {ERROR_OF_K} ORDER BY ts, call_id) AS INTEGER) AS attempt FROM call WHERE tool = 'export_ledger')""",
+FROM (SELECT call_id, {ERROR_OF_K} AS error, CAST(row_number() OVER (PARTITION BY customer_id, tool, {ERROR_OF_K} ORDER BY ts, call_id) AS INTEGER) AS attempt FROM call)""",
     ),
 )
 def pa9(spark, d):
     from pyspark.sql import Window
 
-    c = calls(spark, d).where("tool = 'export_ledger'").withColumn("error", F.expr(ERROR_OF_K))
+    c = calls(spark, d).withColumn("error", F.expr(ERROR_OF_K))
     c = c.withColumn("attempt", F.row_number().over(Window.partitionBy("customer_id", "tool", "error").orderBy("ts", "call_id")))
     return c.select("call_id", "error", "attempt", D.retry_action(F.col("error"), F.col("attempt")).alias("action"))
 
 
-@query("pa10_route_error", with_views("call", f"SELECT {ERROR_OF_K} AS error, count(*) AS n, count(DISTINCT customer_id) AS customers FROM call WHERE tool = 'export_ledger' GROUP BY 1"))
+@query("pa10_route_error", with_views("call", f"SELECT {ERROR_OF_K} AS error, count(*) AS n, count(DISTINCT customer_id) AS customers FROM call GROUP BY 1"))
 def pa10(spark, d):
-    return calls(spark, d).where("tool = 'export_ledger'").groupBy(F.expr(ERROR_OF_K).alias("error")).agg(F.count("*").alias("n"), F.count_distinct("customer_id").alias("customers"))
+    return calls(spark, d).groupBy(F.expr(ERROR_OF_K).alias("error")).agg(F.count("*").alias("n"), F.count_distinct("customer_id").alias("customers"))
 
 
 SESSION_SQL = "session AS (SELECT user_id, session_no, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_events, count(*) FILTER (event = 'error') AS errors, CAST(sum(k) AS BIGINT) AS tokens, max(value) AS top_value FROM trace GROUP BY 1, 2)"
@@ -188,7 +188,7 @@ def pa18(spark, d):
     return D.running(trace(spark, d), ["user_id"], ["ts", "event_id"], F.col("k"), "spent").select("event_id", "spent", (F.col("spent") > 2000).alias("denied"))
 
 
-@query("pa20_demo_mode", decided_sql("SELECT outcome, count(*) AS n, count(*) FILTER (level = 3) AS protected_calls FROM outcomes WHERE customer_id < 100 GROUP BY 1"))
+@query("pa20_demo_mode", decided_sql("SELECT customer_id < 100 AS is_demo, outcome, count(*) AS n, count(*) FILTER (level = 3) AS protected_calls FROM outcomes GROUP BY 1, 2"))
 def pa20(spark, d):
-    """Under the demo profile only the demo customers (ids under 100) are served."""
-    return decided(spark, d).where("customer_id < 100").groupBy("outcome").agg(F.count("*").alias("n"), F.count_if(F.col("level") == 3).alias("protected_calls"))
+    """Calls of demo customers (ids under 100) and of others, whom the demo profile doesn't serve."""
+    return decided(spark, d).groupBy((F.col("customer_id") < 100).alias("is_demo"), "outcome").agg(F.count("*").alias("n"), F.count_if(F.col("level") == 3).alias("protected_calls"))

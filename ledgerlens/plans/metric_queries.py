@@ -151,11 +151,11 @@ def ev22(spark, d):
     return g.groupBy("minutes").agg(F.count_if(over & ~F.col("ended")).alias("false_endpoints"), F.count_if(~over & F.col("ended")).alias("missed_endpoints"), F.count("*").alias("n"))
 
 
-@query("ev23_fault_recovery", with_views("call", f"SELECT k % 9 AS fault, {flag('value < 60')} AS rate, count(*) AS n FROM call WHERE tool = 'export_ledger' GROUP BY 1"))
+@query("ev23_fault_recovery", with_views("call", f"SELECT k % 9 AS fault, {flag('value < 60')} AS rate, count(*) AS n FROM call GROUP BY 1"))
 def ev23(spark, d):
     from ledgerlens.sources.domain import calls
 
-    return M.rate(calls(spark, d).where("tool = 'export_ledger'").withColumn("fault", F.col("k") % 9), F.col("value") < 60, ["fault"])
+    return M.rate(calls(spark, d).withColumn("fault", F.col("k") % 9), F.col("value") < 60, ["fault"])
 
 
 @query("ev24_cards", decided_sql("SELECT count(*) AS calls, count(*) FILTER (outcome = 'executed') AS executed, count(*) FILTER (outcome = 'denied') AS denied, count(*) FILTER (outcome = 'confirm') AS waiting, count(DISTINCT customer_id) AS customers, CAST(sum(k) AS BIGINT) AS tokens FROM outcomes"))

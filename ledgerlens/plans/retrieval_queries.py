@@ -53,7 +53,7 @@ def rg4(spark, d):
 @query("rg6_current_version", "SELECT source, doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n = 1")
 def rg6(spark, d):
     """A source's current document is its longest; ties by id."""
-    return R.current_version(table(spark, d, "documents"), "source", F.col("n_chars").desc(), F.col("doc_id")).select("source", "doc_id", "lang")
+    return R.current_version(table(spark, d, "documents").select("source", "doc_id", "lang", "n_chars"), "source", F.struct("n_chars", -F.col("doc_id"))).select("source", "doc_id", "lang")
 
 
 @query("rg7_version_diff", "SELECT doc_id, n > 1 AND lang IS DISTINCT FROM p AS changed FROM (SELECT doc_id, lang, lag(lang) OVER w AS p, row_number() OVER w AS n FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))")

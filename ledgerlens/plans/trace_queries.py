@@ -89,9 +89,9 @@ def lt11(spark, d):
     return T.transitions(trace(spark, d)).groupBy("from_state", F.col("event").alias("to_state")).agg(F.count("*").alias("n"))
 
 
-@query("lt12_replay", trace_sql("", "SELECT event_id, event, value FROM trace WHERE user_id = 8"))
+@query("lt12_replay", trace_sql("", f"SELECT event_id, event, value, CAST(row_number() OVER {W} AS INTEGER) AS sequence FROM trace"))
 def lt12(spark, d):
-    return trace(spark, d).where("user_id = 8").select("event_id", "event", "value")
+    return T.timeline(trace(spark, d)).select("event_id", "event", "value", "sequence")
 
 
 @query("lt13_trace_gaps", trace_sql("", "SELECT DISTINCT user_id, session_no FROM trace WHERE event = 'click' AND (user_id, session_no) NOT IN (SELECT (user_id, session_no) FROM trace WHERE event = 'view')"))
