@@ -3,7 +3,9 @@
 Features of a text are the distinct hashes of its words, its pairs of neighbouring words and its
 pairs of words with one word between. FTRL-proximal gives each coordinate a learning rate of its own
 and L1 sparsity, so the weights that are broadcast are few. It sees the training rows in a fixed
-(hashed) order, in one task: that is bounded by ``max_train`` rows, chosen by hash of the id.
+(hashed) order, in one task: that is bounded by ``max_train`` rows, chosen by hash of the id, and by
+``max_features`` features in all, rows in the same order as far as that reaches. Of rows that repeat a
+labelled id one is learnt from.
 """
 
 from __future__ import annotations
@@ -12,15 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import needed, text_or_empty
-from ledgerlens.llm.words import hashes, mixed, words_of
+from ledgerlens.llm.common import materialize, needed, text_or_empty
+from ledgerlens.llm.words import mixed, word_hashes
 from ledgerlens.sources.tables import table
 
 BITS = 22
 MAX_TRAIN = 20_000
+MAX_FEATURES = 50_000_000
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 12.0, 1.0
 THRESHOLD = 0.7
@@ -28,7 +31,7 @@ THRESHOLD = 0.7
 
 def features(text: str) -> np.ndarray:
     """Hashed features of a text, repeats included."""
-    h = hashes(words_of(text))
+    h = word_hashes(text)
     salted = lambda x, salt: mixed(x + np.uint64(salt))
     pair = h * np.uint64(0x9E3779B97F4A7C15)
     parts = [salted(h, 1), salted(pair[:-1] + h[1:], 2), salted(pair[:-2] + h[2:], 3)] if len(h) else [h]
@@ -63,7 +66,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
     """Indices and values of the weights other than 0, and the bias. Of a doc_id's labels the
     greatest counts; null labels and ids count for nothing. Without rows to learn from there are no
     weights and the bias is 0."""
@@ -82,15 +85,20 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
 
     def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"one": 0, "place": batch["place"], "h": batch["h"], "label": batch["label"], "ids": [np.unique(features(t)) for t in batch["text"]]})
+            yield pd.DataFrame({"place": batch["place"], "h": batch["h"], "label": batch["label"], "ids": [np.unique(features(t)) for t in batch["text"]]})
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["place", "h"], kind="stable").head(max_train)
+        group = group.sort_values("place", kind="stable")
         w, b = ftrl([(np.asarray(ids), y) for ids, y in zip(group["ids"], group["label"], strict=True)])
         at = np.flatnonzero(w)
         return pd.DataFrame({"at": [at.astype(np.int32)], "w": [w[at]], "b": [b]})
 
-    found = rows.mapInPandas(featurize, "one int, place long, h long, label int, ids array<int>").groupBy("one").applyInPandas(fit, "at array<int>, w array<double>, b double").collect()
+    made = rows.mapInPandas(featurize, "place long, h long, label int, ids array<int>")
+    made = materialize(made.groupBy("place", "label").agg(F.min(F.struct("h", "ids")).alias("row")).select("place", "label", F.col("row.ids").alias("ids")), "toxicity-features")
+    # max_train narrow rows at most
+    so_far = F.sum(F.size("ids").cast("long")).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    within = made.select("place", so_far.alias("so_far")).where(F.col("so_far") <= max_features).select("place")
+    found = made.join(F.broadcast(within), "place").withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fit, "at array<int>, w array<double>, b double").collect()
     if not found:
         return np.empty(0, np.int32), np.empty(0), 0.0
     return np.array(found[0]["at"], np.int32), np.array(found[0]["w"], float), found[0]["b"]

@@ -75,24 +75,6 @@ def spaced_hashes(text: str) -> np.ndarray:
     return _hashes(text.encode("utf-8", "surrogatepass").translate(_SPACED_BYTES))
 
 
-_MOST_HASHES = 400_000
-_HASHES: dict[bytes, int] = {}
-
-
-def hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of the words, from a bounded memo."""
-    if len(_HASHES) > _MOST_HASHES:
-        _HASHES.clear()
-    memo = _HASHES
-    try:
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        for w in set(words):
-            if w not in memo:
-                memo[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit numbers (two multiply and shift rounds)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
