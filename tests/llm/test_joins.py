@@ -378,8 +378,16 @@ def test_pipeline_keeps_what_each_stage_should(spark, data):
     clean = P.drop_contaminated(spark, near, data).cache()
     bad = {r.doc_id for r in near.collect() for item, g in zip(items, seeds, strict=True) if g & grams(r.text) and coverage(item, r.text) >= 0.5}
     assert clean.columns == columns and ids(clean) == ids(near) - bad
-    mixed = P.mix_sources(spark, clean, data)
-    assert ids(mixed) == ids(clean)
+    mixed = P.mix_sources(spark, clean, data).collect()
+    source = {r.doc_id: r.source for r in clean.collect()}
+    assert {r.doc_id for r in mixed} == set(source)
+    size, taken, target = {}, {}, {}
+    for r in mixed:
+        s = source[r.doc_id]
+        assert 0 <= r.taken <= 3 * r.size
+        size[s], taken[s], target[s] = size.get(s, 0) + r.size, taken.get(s, 0) + r.taken, r.target
+    assert abs(sum(target.values()) - sum(size.values())) < 1
+    assert all(abs(taken[s] - target[s]) <= max(0.05 * target[s], 200) for s in size), (taken, target)
 
 
 def test_without_matches_nulls(spark):
