@@ -28,6 +28,7 @@ MAX_PASSES = 3
 BLOCK_WORDS = 32
 SEED = "mix-1"
 CHUNK = 4096
+SLOTS_A_TASK = 1_000_000
 BITS = 52
 
 
@@ -89,13 +90,14 @@ def schedule(spark: SparkSession, shares: DataFrame, max_passes: int = MAX_PASSE
     if n >= 2**BITS:
         raise ValueError(f"{n} slots need more than {BITS} bits; take larger blocks")
     cells = CHUNK
-    slots = spark.range(n).select(F.col("id").alias("slot"), (_point(F.col("id")) / F.lit(float(2**BITS)) * F.lit(total)).alias("at"))
+    slots = spark.range(0, n, 1, max(spark.sparkContext.defaultParallelism, n // SLOTS_A_TASK + 1)).select(F.col("id").alias("slot"), (_point(F.col("id")) / F.lit(float(2**BITS)) * F.lit(total)).alias("at"))
     slots = slots.withColumn("cell", F.floor(F.col("at") / F.lit(total or 1.0) * cells).cast("long"))
     spans = shares.where("hi > lo").select(
         "number", "n_blocks", "lo", "hi",
         F.explode(F.sequence(F.floor(F.col("lo") / F.lit(total or 1.0) * cells).cast("long"), F.floor(F.col("hi") / F.lit(total or 1.0) * cells).cast("long"))).alias("cell"),
     )
     mapped = slots.join(spans, "cell").where("at >= lo and at < hi").select("slot", F.floor(F.col("slot") / CHUNK).alias("chunk"), "number", "n_blocks")
+    mapped = materialize(mapped, "mix-slots")
     counts = mapped.groupBy("number", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("number").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("number", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
