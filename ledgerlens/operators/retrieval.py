@@ -176,6 +176,9 @@ def hybrid_whole(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame,
     document with a keyword score gets its vector score looked up; one without can only be among the
     k best if it is among the k best vectors. Minima and maxima are those of all vector scores and of
     all keyword scores of the query; order is by the score to 9 digits, then id."""
+    path = new_folder(docs.sparkSession, "hybrid-vectors")
+    doc_vectors.write.parquet(path)  # read three times; a model's vectors aren't made again
+    doc_vectors = docs.sparkSession.read.schema(doc_vectors.schema).parquet(path)
     keyword = min_max(bm25(queries, docs).select("query_id", "doc_id", F.col("score").alias("w")), "query_id", "w")
     best = vector_topk(query_vectors, doc_vectors, k, "id").select("query_id", F.col("item_id").alias("doc_id"), F.col("score").alias("v"))
     turned = query_vectors.select("id", F.transform("embedding", lambda x: -x).alias("embedding"))
