@@ -45,6 +45,13 @@ def broadcast_if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def opened(uri: str):
+    """A file system and a path in it, for a URI or a local path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in ids (doc_id; nulls match nulls). The texts are
     shuffled only where there are more ids than may be broadcast."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import decontamination, exact_dedup, license_scan, mixing, ngram_join, pii, secret_scan, token_counts, toxicity, warc_store
+from ledgerlens.llm import decontamination, exact_dedup, license_scan, mixing, ngram_join, pii, secret_scan, token_counts, token_files, toxicity, warc_store
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_warc": warc_store.op9_warc,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_token_ids": token_files.op11_token_ids,
     }
 
 

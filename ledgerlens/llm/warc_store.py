@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialize, needed, text_or_empty
+from ledgerlens.llm.common import materialize, needed, opened, text_or_empty
 from ledgerlens.sources.scratch import new_folder
 from ledgerlens.sources.tables import table
 
@@ -48,13 +48,6 @@ def sha1_base32(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
-def _file(uri: str):
-    """A file system and a path in it, for a URI or a local path."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def build_dictionary(samples: list[bytes]) -> bytes:
     """A trained dictionary; of samples too few or too small to train on, their own bytes; of none, no bytes."""
     import zstandard
@@ -174,7 +167,7 @@ def sampled(pages: DataFrame) -> list[bytes]:
     the number of rows before any are gathered, so what reaches the driver doesn't grow with it."""
     html = needed(pages, "html").select(text_or_empty(F.col("html")).alias("html")).where("html <> ''").withColumn("h", F.xxhash64("html"))
     thin = max(1, pages.count() // (4 * SAMPLE_RECORDS))
-    for step in {thin, 1}:
+    for step in dict.fromkeys((thin, 1)):  # in this order
         chosen = [r["h"] for r in html.select("h").where(F.pmod("h", F.lit(step)) == 0).distinct().orderBy("h").limit(SAMPLE_RECORDS).collect()]
         if chosen:
             rows = html.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min(F.substring("html", 1, SAMPLE_RECORD_CHARS)).alias("html"))
@@ -192,7 +185,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
         from pyspark import TaskContext
 
         context, n, out = TaskContext.get(), 0, None
-        store, base = _file(folder)
+        store, base = opened(folder)
         path = f"{base}/part-{context.partitionId():06d}.warc.zst"
         own = f"{path}.{context.taskAttemptId()}"
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared.value))
@@ -226,7 +219,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column("path").to_pylist():
-                store, path = _file(uri)
+                store, path = opened(uri)
                 rows = []
                 with store.open_input_stream(path, compression=None) as stream:
                     for data in frames(stream):
