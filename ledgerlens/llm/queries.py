@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import decontamination, exact_dedup, license_scan, mixing, ngram_join, pii, secret_scan, sharded_lloyd, token_counts, token_files, toxicity, warc_store
+from ledgerlens.llm import alignment, decontamination, exact_dedup, license_scan, mixing, ngram_join, pii, secret_scan, sharded_lloyd, token_counts, token_files, toxicity, warc_store
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_warc": warc_store.op9_warc,
         "op10_token_counts": token_counts.op10_token_counts,
         "op11_token_ids": token_files.op11_token_ids,
+        "op12_alignment": alignment.op12_alignment,
         "op13_sharded_lloyd": sharded_lloyd.op13_sharded_lloyd,
     }
 
@@ -30,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_ngram_join": ngram_join.ORACLE_SQL,
         "op7_mixing": mixing.ORACLE_SQL,
         "op9_warc": warc_store.ORACLE_SQL,
+        "op12_alignment": alignment.op12_alignment,
         "op13_sharded_lloyd": sharded_lloyd.ORACLE_SQL,
     }
