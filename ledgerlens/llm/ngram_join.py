@@ -71,6 +71,8 @@ class Bands:
     that a size takes part in."""
 
     def __init__(self, percent: int = PERCENT):
+        if not 0 < percent <= 100:
+            raise ValueError(f"percent is from 1 to 100, not {percent}")
         self.percent, self.lows, self.plans = percent, [1], {}
 
     def low(self, k: int) -> int:
@@ -107,8 +109,11 @@ class Bands:
         return self.plans[k]
 
     def of(self, n: int) -> list[int]:
-        k = self.own(n)
-        return [k - 1, k] if k and n * self.percent <= (self.low(k) - 1) * 100 else [k]
+        """All bands that may hold the smaller set of a linking pair with a set of n."""
+        out = [self.own(n)]
+        while out[0] and n * self.percent <= (self.low(out[0]) - 1) * 100:
+            out.insert(0, out[0] - 1)
+        return out
 
     def different(self, n: int, k: int) -> int:
         """The largest difference of a linking pair of band k that has a set of n."""

@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontamination, ngram_join, toxicity, warc_store
@@ -426,3 +427,29 @@ def test_pipeline_drops_single_rows_of_null_and_repeated_ids(spark, tmp_path):
     spark.createDataFrame([(1, t[7])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     leaks = [(None, t[0]), (None, t[7]), (3, t[1]), (3, "so " + t[7]), (4, t[2])]
     assert pairs(P.drop_contaminated(spark, spark.createDataFrame(leaks, docs.schema), str(tmp_path))) == sorted([(None, t[0]), (3, t[1]), (4, t[2])], key=repr)
+
+
+@pytest.mark.parametrize("percent", [30, 50, 60, 70, 85])
+def test_links_at_any_percent(spark, percent):
+    """Pairs of sets just at and just under the limit, of sizes far apart and alike."""
+    r, rows, want = random.Random(percent), [], {}
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(9))
+    for k in range(120):
+        n = r.randint(1, 60)
+        a = [word() for _ in range(n)]
+        if k % 2:  # one holds the other: shared / larger
+            b = a + [word() for _ in range(n * 100 // percent - n)]
+        else:
+            b = a[r.randint(0, n) :] + [word() for _ in range(r.randint(0, n))]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        linked = bool(b) and 100 * len(set(a) & set(b)) >= percent * len(set(a) | set(b))
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if linked else 2 * k + 1}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in ngram_join.near_duplicates(df, shingle=1, percent=percent).collect()}
+    assert got == want
+
+
+def test_percents_that_mean_nothing_are_refused():
+    for percent in (0, -1, 101):
+        with pytest.raises(ValueError, match="percent"):
+            ngram_join.Bands(percent)

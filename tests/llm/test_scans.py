@@ -248,3 +248,19 @@ def test_checks_confirm_what_the_base_rules_miss(spark):
         for s, k, e in pii.proposals(x, pii.base_spans(x)):
             assert not pii.confirmed(x, k, s, e), (x, k, s, e)
     assert {r.doc_id: r.text for r in pii.redacted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}[2] == "see [id] EUR now"
+
+
+def test_pii_long_runs_of_digits():
+    """Zeros that int() refuses, and runs that a pattern must not scan again from each digit."""
+    import time
+
+    from ledgerlens.llm import pii
+
+    zeros = "see " + "0" * 5000 + ".1.1.1 and " + "0" * 5000 + ".1.1.256"
+    base, found = pii.scanned_text(zeros)
+    assert base == [{"start": 4, "kind": 1, "end": 5010}]
+    assert all(len(f["x"]) == len(pii.FEATURES) for f in found)
+    began = time.time()
+    for text in ("7" * 200_000, "12 " * 60_000, "1." * 90_000):
+        pii.scanned_text(text)
+    assert time.time() - began < 20
