@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.text import normalize, tokens
+from ledgerlens.operators import vector_index as V
 from ledgerlens.sources.scratch import new_folder
 
 CHUNK_CHARS = 200
@@ -128,9 +129,9 @@ def _small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int | None = None, ranked: bool = True) -> DataFrame:
     """queries: query_id, text; docs: doc_id, text. BM25 of documents that share a token with the
-    query: query_id, doc_id, score (6 digits), rank by score, then id. Documents are tokenized once: the
+    query: query_id, doc_id, score (6 digits), rank by score, then id, where wanted. Documents are tokenized once: the
     postings of query tokens, counted per document, are written with each document's length. Questions
     are joined by token; where their tokens are few enough they are broadcast, so that a common token's
     postings stay in their partitions."""
@@ -149,9 +150,11 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame
     idf = F.log(1 + (F.lit(float(stats["n_docs"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(stats["mean_len"] or 1.0)))
     scored = postings.join(_small(q), "token").join(df, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(idf * weight), 6).alias("score"))
+    if not ranked:
+        return scored
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    ranked = scored.withColumn("rank", F.row_number().over(w))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    scored = scored.withColumn("rank", F.row_number().over(w))
+    return scored if k is None else scored.where(F.col("rank") <= k)
 
 
 def min_max(df: DataFrame, by: str, score: str) -> DataFrame:
@@ -172,31 +175,70 @@ def hybrid(keyword: DataFrame, vector: DataFrame, k: int, alpha: float = 0.5, be
 
 
 def hybrid_whole(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, k: int, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
-    """hybrid() over all documents: no side is cut before fusion. Vectors have id, embedding. Each
-    document with a keyword score gets its vector score looked up; one without can only be among the
-    k best if it is among the k best vectors. Minima and maxima are those of all vector scores and of
-    all keyword scores of the query; order is by the score to 9 digits, then id."""
-    path = new_folder(docs.sparkSession, "hybrid-vectors")
-    doc_vectors.write.parquet(path)  # read three times; a model's vectors aren't made again
-    doc_vectors = docs.sparkSession.read.schema(doc_vectors.schema).parquet(path)
-    keyword = min_max(bm25(queries, docs).select("query_id", "doc_id", F.col("score").alias("w")), "query_id", "w")
-    best = vector_topk(query_vectors, doc_vectors, k, "id").select("query_id", F.col("item_id").alias("doc_id"), F.col("score").alias("v"))
-    turned = query_vectors.select("id", F.transform("embedding", lambda x: -x).alias("embedding"))
-    low = vector_topk(turned, doc_vectors, 1, "id").select("query_id", (-F.col("score")).alias("low"))
-    span = low.join(best.groupBy("query_id").agg(F.max("v").alias("high")), "query_id")
-
-    def unit(df: DataFrame, key: str, name: str) -> DataFrame:
-        e = F.transform("embedding", lambda x: x.cast("double"))
+    """hybrid() over all documents, as hybrid_bounded() finds it: query_id, doc_id, score, rank."""
+    return hybrid_bounded(queries, docs, query_vectors, doc_vectors, k, alpha, beta)[0]
+
+
+def hybrid_bounded(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, k: int, alpha: float = 0.5, beta: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """hybrid() over all documents with a stopping bound: no side is cut before fusion, and few vector
+    scores are made. Vectors have id, embedding. Also returns the pairs (query_id, doc_id) whose vector
+    score was looked up.
+
+    Keyword scores are aggregated from postings once. The vector index gives each query's k best and
+    least vector scores exactly. Fusing the k best of both sides gives a k-th score that the answer
+    reaches. From there on, a document counts only if its keyword score and the most that its vector score
+    can be (by its angle in its list) may fuse to that. One without a keyword score can only be
+    among the k best if it is among the k best vectors. Minima and maxima are those of all scores of
+    the query; order is by the score to 9 digits, then id."""
+    index = V.build_index(doc_vectors, "id", "embedding")
+    lists = len(index.centroids)
+    both_ways = query_vectors.select(F.col("id").cast("long").alias("id"), F.explode(F.array(F.struct(F.lit(0).alias("turned"), "embedding"), F.struct(F.lit(1).alias("turned"), F.transform("embedding", lambda x: -x).alias("embedding")))).alias("x"))
+    numbered = _kept(both_ways.select("id", "x.*").withColumn("number", -1 - F.monotonically_increasing_id()), "hybrid-queries")
+    near = V.search(index, numbered, k, "number")[0].join(_small(numbered.select(F.col("number").alias("query_id"), "id", "turned")), "query_id")
+    near = _kept(near.select(F.col("id").alias("query_id"), "turned", F.col("item_id").alias("doc_id"), "score", "rank"), "hybrid-near")
+    best = near.where("turned = 0").select("query_id", "doc_id", F.col("score").alias("v"))
+    span = near.groupBy("query_id").agg(F.max(F.when(F.col("turned") == 0, F.col("score"))).alias("high"), (-F.max(F.when(F.col("turned") == 1, F.col("score")))).alias("low"))
+
+    words = _kept(bm25(queries, docs, ranked=False), "hybrid-words")
+    kept = words.groupBy("query_id").agg(F.min("score").alias("least"), F.max("score").alias("most"))
+    angles = V.angles_to_lists(index, query_vectors, "id", "embedding")
+    about = _small(_kept(angles.join(span, "query_id", "full_outer").join(kept, "query_id", "full_outer"), "hybrid-about"), 10_000)
+
+    scaled = lambda x, low, high: F.coalesce((x - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+    weighed = words.join(about, "query_id").withColumn("w", scaled(F.col("score"), F.col("least"), F.col("most")))
+    fused = lambda df: df.withColumn("fused", F.round(alpha * scaled(F.col("v"), F.col("low"), F.col("high")) + beta * F.coalesce("w", F.lit(0.0)), 9))
+
+    def looked_up(pairs: DataFrame) -> DataFrame:
+        """Pairs (query_id, q, doc_id, ...) with the vector score v; null for documents without a vector."""
+        e = F.transform("vector", lambda x: x.cast("double"))
         norm = F.greatest(F.sqrt(F.aggregate(e, F.lit(0.0), lambda t, x: t + x * x)), F.lit(1e-300))
-        return df.where(F.size("embedding") > 0).select(F.col("id").alias(key), F.transform(e, lambda x: x / norm).alias(name))
+        v = F.round(F.aggregate(F.zip_with("q", F.transform(e, lambda x: x / norm), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x), 6)
+        return pairs.join(index.rows.select(F.col("id").alias("doc_id"), "vector"), "doc_id", "left").withColumn("v", v).drop("vector")
 
-    looked = keyword.join(unit(query_vectors, "query_id", "p"), "query_id", "left").join(unit(doc_vectors, "doc_id", "q"), "doc_id", "left")
-    looked = looked.select("query_id", "doc_id", "w", F.round(F.aggregate(F.zip_with("p", "q", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x), 6).alias("v"))
-    other = best.join(keyword, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("w"), "v")
-    v = F.coalesce((F.col("v") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(0.0))
-    fused = looked.unionByName(other).join(span, "query_id", "left").select("query_id", "doc_id", F.round(alpha * v + beta * F.col("w"), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round("score", 6))
+    top = weighed.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+    first = fused(looked_up(top)).select("query_id", "doc_id", "fused")
+    vector_side = fused(best.join(weighed.select("query_id", "doc_id", "w"), ["query_id", "doc_id"], "left").join(about.select("query_id", "low", "high"), "query_id")).select("query_id", "doc_id", "fused")
+    seen = _kept(first.unionByName(vector_side).dropDuplicates(["query_id", "doc_id"]), "hybrid-first")
+    order = Window.partitionBy("query_id").orderBy(F.col("fused").desc(), "doc_id")
+    enough = seen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", F.col("fused").alias("enough"))
+
+    place = index.rows.select(F.col("id").alias("doc_id"), "list", "angle")
+    bound = F.when(F.col("list") == lists, F.when(F.col("angles").isNotNull(), F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(V.best_cosine(F.element_at("angles", F.when(F.col("list") < lists, F.col("list") + 1)), F.col("angle"), F.col("angle")))
+    reach = alpha * F.coalesce(scaled(F.least(bound + V.SLACK, F.col("high")), F.col("low"), F.col("high")), F.lit(1.0)) + beta * F.col("w") + 1e-9
+    may = weighed.join(_small(enough), "query_id", "left").where(F.col("enough").isNull() | (alpha + beta * F.col("w") + 1e-9 >= F.col("enough")))
+    may = may.join(place, "doc_id", "left").where(F.col("enough").isNull() | F.col("list").isNull() | (reach >= F.col("enough")))
+    more = _kept(fused(looked_up(may.join(_small(seen.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_anti"))).select("query_id", "doc_id", "fused"), "hybrid-more")
+    ranked = seen.unionByName(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    looked = more.select("query_id", "doc_id").unionByName(first.select("query_id", "doc_id"))
+    return ranked.select("query_id", "doc_id", F.round("fused", 6).alias("score"), "rank"), looked
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written and read again."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sufficient(ranked: DataFrame, least: float) -> DataFrame:
@@ -205,4 +247,4 @@ def sufficient(ranked: DataFrame, least: float) -> DataFrame:
     return ranked.groupBy("query_id").agg(F.max("score").alias("best"), listed.alias("sources")).withColumn("verdict", F.when(F.col("best") >= least, "answer").otherwise("cannot_verify"))
 
 
-__all__ = ["bm25", "cached_embed", "chunks", "current_version", "embed", "hybrid", "hybrid_whole", "min_max", "normalize", "sections", "sufficient", "vector_topk", "version_changes"]
+__all__ = ["bm25", "cached_embed", "chunks", "current_version", "embed", "hybrid", "hybrid_bounded", "hybrid_whole", "min_max", "normalize", "sections", "sufficient", "vector_topk", "version_changes"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.text import normalize
 from ledgerlens.operators import metrics as M
 from ledgerlens.operators import retrieval as R
+from ledgerlens.operators import vector_index as V
 from ledgerlens.plans.registry import query
 from ledgerlens.sources.tables import table
 
@@ -71,8 +72,17 @@ top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id O
 
 
 def nearest(spark, d):
+    """Exact, through the index."""
     e = table(spark, d, "embeddings")
-    return R.vector_topk(e.where("vec_id % 100 = 0"), e, K)
+    return V.search(V.build_index(e, "vec_id", "embedding"), e.where("vec_id % 100 = 0"), K)[0]
+
+
+def recall_at_k(spark, d, probes: int) -> float:
+    """Of the K nearest vectors, the share that a search of the nearest lists alone finds."""
+    e = table(spark, d, "embeddings")
+    index, asked = V.build_index(e, "vec_id", "embedding"), e.where("vec_id % 100 = 0")
+    true, some = (V.search(index, asked, K, probes=probes, exact=x)[0].select("query_id", "item_id") for x in (True, False))
+    return true.join(some, ["query_id", "item_id"]).count() / true.count()
 
 
 @query("rg9_vector", f"WITH {VECTORS} SELECT query_id, item_id, score, rank FROM top")
