@@ -190,7 +190,8 @@ def hybrid_bounded(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame
     can be (by its angle in its list) may fuse to that. One without a keyword score can only be
     among the k best if it is among the k best vectors. Minima and maxima are those of all scores of
     the query; order is by the score to 9 digits, then id."""
-    index = V.build_index(doc_vectors, "id", "embedding")
+    query_vectors = _kept(query_vectors, "hybrid-asked")
+    index = V.build_index(_kept(doc_vectors, "hybrid-vectors"), "id", "embedding")  # a model's vectors aren't made again
     lists = len(index.centroids)
     both_ways = query_vectors.select(F.col("id").cast("long").alias("id"), F.explode(F.array(F.struct(F.lit(0).alias("turned"), "embedding"), F.struct(F.lit(1).alias("turned"), F.transform("embedding", lambda x: -x).alias("embedding")))).alias("x"))
     numbered = _kept(both_ways.select("id", "x.*").withColumn("number", -1 - F.monotonically_increasing_id()), "hybrid-queries")

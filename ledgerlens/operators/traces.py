@@ -66,3 +66,33 @@ def unanswered(trace: DataFrame, start: str, end: str) -> DataFrame:
     """Sessions with a start event and no end event."""
     s = trace.where(F.col("event") == start).select(*SESSION).distinct()
     return s.join(trace.where(F.col("event") == end).select(*SESSION), SESSION, "left_anti")
+
+
+def overlaps(left: DataFrame, right: DataFrame, keys: list[str], bin_ms: int) -> DataFrame:
+    """Interval-overlap join: pairs of rows of equal keys whose intervals (start_ms, end_ms; the end
+    excluded) share a moment. Columns of the left come as l_*, of the right as r_*, with overlap_ms.
+
+    Intervals are dealt into time bins and joined on keys and bin, so that rows meet only where they are
+    near in time, a long session is many bins, and the join stays a hash or sort-merge join on equal
+    columns. Two intervals that share several bins meet in each; the pair counts in the bin of the later
+    start alone, which both have. Bins should be about as long as most intervals: a longer interval is
+    copied into each bin that it touches. Empty intervals, and those with a null key or bound, overlap nothing."""
+
+    def dealt(df: DataFrame, side: str) -> DataFrame:
+        bins = F.sequence(F.floor(F.col("start_ms") / bin_ms), F.floor((F.col("end_ms") - 1) / bin_ms))
+        some = df.where(F.col("start_ms") < F.col("end_ms"))
+        return some.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns], F.explode(bins).alias(f"{side}_bin"))
+
+    both = [F.col(f"l_{k}") == F.col(f"r_{k}") for k in [*keys, "bin"]]
+    later, sooner = F.greatest("l_start_ms", "r_start_ms"), F.least("l_end_ms", "r_end_ms")
+    pairs = dealt(left, "l").join(dealt(right, "r"), [*both, later < sooner, F.floor(later / bin_ms) == F.col("l_bin")])
+    return pairs.withColumn("overlap_ms", sooner - later).drop("l_bin", "r_bin")
+
+
+def interrupted_outputs(played: DataFrame, spoken: DataFrame, bin_ms: int = 10_000) -> DataFrame:
+    """Outputs that a user spoke over: turn_id, overlaps, spoken_ms (the sum of overlaps), heard_ms
+    (played before the first of them). One output may meet several stretches of speech, of any turn of
+    its session."""
+    o = overlaps(played, spoken, SESSION, bin_ms)
+    heard = F.min(F.greatest(F.lit(0), F.col("r_start_ms") - F.col("l_start_ms")))
+    return o.groupBy(F.col("l_turn_id").alias("turn_id")).agg(F.count("*").alias("overlaps"), F.sum("overlap_ms").alias("spoken_ms"), heard.alias("heard_ms"))

@@ -9,6 +9,7 @@ from ledgerlens.plans.decision_queries import SESSION_SQL, session_sql
 from ledgerlens.plans.registry import query
 from ledgerlens.sources.domain import trace, with_views
 from ledgerlens.sources.tables import table
+from ledgerlens.sources.voice import OUTPUT_SQL, playback_and_speech, stage_sql, voice_stages
 
 W = "(PARTITION BY user_id, session_no ORDER BY ts, event_id)"
 DELTAS = f"d AS (SELECT *, round((epoch_us(ts) - epoch_us(lag(ts) OVER {W})) / 1e6, 3) AS delta_s, lag(event) OVER {W} AS previous_event FROM trace)"
@@ -50,16 +51,16 @@ def lt5(spark, d):
 
 @query(
     "lt6_incomplete_outputs",
-    trace_sql("", f"SELECT event_id FROM (SELECT *, lead(event) OVER {W} AS nxt, lead(ts) OVER {W} AS nxt_ts FROM trace) WHERE event = 'view' AND nxt = 'click' AND epoch_us(nxt_ts) - epoch_us(ts) < value * 1e6"),
+    stage_sql(
+        OUTPUT_SQL
+        + """
+SELECT p.turn_id, count(*) AS overlaps, CAST(sum(least(p.end_ms, s.end_ms) - greatest(p.start_ms, s.start_ms)) AS BIGINT) AS spoken_ms, min(greatest(0, s.start_ms - p.start_ms)) AS heard_ms
+FROM played p JOIN spoken s ON p.user_id = s.user_id AND p.session_no = s.session_no AND p.start_ms < s.end_ms AND s.start_ms < p.end_ms AND p.start_ms < p.end_ms AND s.start_ms < s.end_ms GROUP BY 1"""
+    ).replace("\n, turns", ", turns"),
 )
 def lt6(spark, d):
-    """A view is an output that plays for value seconds; a click before its end interrupts it."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*T.SESSION).orderBy("ts", "event_id")
-    us = lambda c: F.unix_micros(c.cast("timestamp"))
-    t = trace(spark, d).withColumn("nxt", F.lead("event").over(w)).withColumn("nxt_ts", F.lead("ts").over(w))
-    return t.where((F.col("event") == "view") & (F.col("nxt") == "click") & (us(F.col("nxt_ts")) - us(F.col("ts")) < F.col("value") * 1e6)).select("event_id")
+    """Outputs that play while the user speaks, in their turn or in another of the session."""
+    return T.interrupted_outputs(*playback_and_speech(voice_stages(spark, d)))
 
 
 @query("lt7_usage", session_sql("SELECT user_id, count(*) AS sessions, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(max(tokens) AS BIGINT) AS most_tokens FROM session GROUP BY 1"))

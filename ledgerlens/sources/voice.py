@@ -54,6 +54,27 @@ _of_turn = " UNION ALL ".join(f"SELECT event_id AS turn_id, user_id, session_no,
 STAGE_SQL = f"{SQL['trace']}, stages AS ({_of_turn})"
 
 
+def playback_and_speech(stages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Intervals of a session: what the agent plays (from its first audio to its cancellation or its
+    turn's end) and what the user says (from start to end, and where they speak over the agent until it
+    is noticed, two seconds at most). turn_id, user_id, session_no, start_ms, end_ms; end excluded."""
+    at = lambda *names: F.min(F.when(F.col("stage").isin(*names), F.col("at_ms")))
+    turns = stages.groupBy("turn_id", "user_id", "session_no").agg(
+        at("TTS_FIRST_AUDIO").alias("audio"), at("TTS_CANCELLED", "TURN_COMPLETED").alias("done"), at("USER_SPEECH_STARTED").alias("said"), at("USER_SPEECH_ENDED").alias("ended"), at("USER_SPOKE_OVER").alias("over"), at("INTERRUPTION_DETECTED").alias("noticed")
+    )
+    keys = ["turn_id", "user_id", "session_no"]
+    played = turns.where("audio is not null").select(*keys, F.col("audio").alias("start_ms"), F.coalesce("done", F.col("audio") + 60_000).alias("end_ms"))
+    own = F.struct(F.col("said").alias("start_ms"), F.col("ended").alias("end_ms"))
+    over = F.when(F.col("over").isNotNull(), F.struct(F.col("over").alias("start_ms"), F.least(F.coalesce("noticed", F.col("over") + 2000), F.col("over") + 2000).alias("end_ms")))
+    spoken = turns.select(*keys, F.explode(F.array_compact(F.array(own, over))).alias("s")).select(*keys, "s.*")
+    return played, spoken
+
+
+OUTPUT_SQL = """, turns AS (SELECT turn_id, user_id, session_no, min(at_ms) FILTER (stage = 'TTS_FIRST_AUDIO') AS audio, min(at_ms) FILTER (stage IN ('TTS_CANCELLED', 'TURN_COMPLETED')) AS done, min(at_ms) FILTER (stage = 'USER_SPEECH_STARTED') AS said, min(at_ms) FILTER (stage = 'USER_SPEECH_ENDED') AS ended, min(at_ms) FILTER (stage = 'USER_SPOKE_OVER') AS over, min(at_ms) FILTER (stage = 'INTERRUPTION_DETECTED') AS noticed FROM stages GROUP BY 1, 2, 3),
+played AS (SELECT turn_id, user_id, session_no, audio AS start_ms, coalesce(done, audio + 60000) AS end_ms FROM turns WHERE audio IS NOT NULL),
+spoken AS (SELECT turn_id, user_id, session_no, said AS start_ms, ended AS end_ms FROM turns UNION ALL SELECT turn_id, user_id, session_no, over, least(coalesce(noticed, over + 2000), over + 2000) FROM turns WHERE over IS NOT NULL)"""
+
+
 def stage_sql(body: str) -> str:
     return f"WITH {STAGE_SQL}\n{body}"
 
