@@ -14,6 +14,7 @@ from ledgerlens.plans.registry import ORACLES, query
 from ledgerlens.plans.retrieval_queries import BM25, LETTERS, _COUNTS, letter_model, questions
 from ledgerlens.plans.scenario_queries import handoffs
 from ledgerlens.sources import stores
+from ledgerlens.sources.domain import accounts, tools, transactions, with_views
 from ledgerlens.sources.scratch import new_folder
 from ledgerlens.sources.tables import table
 from ledgerlens.sources.voice import stage_sql, voice_stages
@@ -105,6 +106,73 @@ class Echo:
     def generate(self, prompts: list[str]) -> list[str]:
         return [f"{p.split(' ')[0]} {len(p)}" for p in prompts]
 
+    def stream(self, prompt: str):
+        yield from prompt.split(" ")
+
+
+class Teller:
+    """A deterministic provider with tools, for tests and examples. It asks for an account's balance, then
+    for its transactions, and answers with both; it gives up at a refusal. ``export`` asks for a tool that
+    isn't there, ``policy`` for policies again and again."""
+
+    def generate_with_tools(self, transcripts: list[list[str]], tools: list[str]) -> list[P.Reply]:
+        return [self._reply(*t) for t in transcripts]
+
+    def _reply(self, prompt: str, *heard: str) -> P.Reply:
+        what, _, account = prompt.partition(" ")
+        if heard and heard[-1].startswith("refused"):
+            return P.Reply(answer=f"cannot: {heard[-1].removeprefix('refused: ')}")
+        if what == "policy":
+            return P.Reply(tool="search_policies", argument=account)
+        if not heard:
+            return P.Reply(tool="export_ledger" if what == "export" else "get_account_balance", argument=account)
+        if len(heard) == 1:
+            return P.Reply(tool="get_recent_transactions", argument=account)
+        return P.Reply(answer=f"{heard[0]} after {heard[1]}")
+
+
+def tool_requests(spark, d):
+    """A request of each account's holder. Some ask for another's account, for one that isn't there, for a
+    tool that isn't there, or for policies for ever; every fifth isn't authenticated."""
+    n = F.col("account_id")
+    what = F.when(n % 17 == 0, "policy").when(n % 13 == 0, "export").otherwise("account")
+    wanted = F.when(n % 11 == 0, -n - 1).when(n % 7 == 0, n + 2).otherwise(n)
+    return accounts(spark, d).select(n.alias("request_id"), "customer_id", (n % 5 != 0).alias("authenticated"), F.lit(False).alias("confirmed"), F.concat_ws(" ", what, wanted.cast("string")).alias("prompt"))
+
+
+def tool_lookups(spark, d):
+    """What the tools say: a balance, and the number of an account's transactions."""
+    own, txns = accounts(spark, d), transactions(spark, d)
+    counted = txns.groupBy("account_id").agg(F.count("*").alias("n"))
+    of = lambda calls, found: calls.join(found, F.col("argument") == F.col("account_id").cast("string"), "left")
+    return {
+        "get_account_balance": lambda calls: of(calls, own.select("account_id", "current_balance")).select("request_id", F.col("current_balance").cast("decimal(18,2)").cast("string").alias("result")),
+        "get_recent_transactions": lambda calls: of(calls, counted).select("request_id", F.coalesce("n", F.lit(0)).cast("string").alias("result")),
+    }
+
+
+@query(
+    "ud2_tool_loop",
+    with_views(
+        "account txn",
+        """, r AS (SELECT account_id AS n, customer_id, account_id % 5 <> 0 AS authenticated, CASE WHEN account_id % 17 = 0 THEN 'policy' WHEN account_id % 13 = 0 THEN 'export' ELSE 'account' END AS what, CASE WHEN account_id % 11 = 0 THEN -account_id - 1 WHEN account_id % 7 = 0 THEN account_id + 2 ELSE account_id END AS wanted FROM account),
+l AS (SELECT r.*, a.current_balance, (SELECT count(*) FROM txn WHERE txn.account_id = wanted) AS txns, CASE WHEN what = 'export' THEN 'allowlist' WHEN what = 'policy' THEN NULL WHEN NOT authenticated THEN 'authentication' WHEN a.customer_id <> r.customer_id THEN 'ownership' WHEN a.account_id IS NULL THEN 'arguments' END AS layer FROM r LEFT JOIN account a ON a.account_id = wanted)
+SELECT n AS request_id, CASE WHEN what = 'policy' THEN 'round_limit' ELSE 'answered' END AS outcome, CASE WHEN what = 'policy' THEN NULL WHEN layer IS NOT NULL THEN concat('cannot: ', layer) ELSE concat(CAST(CAST(current_balance AS DECIMAL(18, 2)) AS VARCHAR), ' after ', txns) END AS answer,
+CASE WHEN what = 'policy' THEN 4 WHEN layer IS NOT NULL THEN 2 ELSE 3 END AS rounds, CASE WHEN what = 'policy' THEN 4 WHEN layer IS NOT NULL THEN 1 ELSE 2 END AS calls, CASE WHEN layer IS NOT NULL THEN 1 ELSE 0 END AS denied,
+CASE WHEN what = 'policy' THEN 'search_policies:executed,search_policies:executed,search_policies:executed,search_policies:executed' WHEN what = 'export' THEN 'export_ledger:denied' WHEN layer IS NOT NULL THEN 'get_account_balance:denied' ELSE 'get_account_balance:executed,get_recent_transactions:executed' END AS trail FROM l""",
+    ).replace("\n, r AS", ", r AS"),
+)
+def ud2_loop(spark, d):
+    """Every request through the tool loop, to its answer or to the limit of four rounds."""
+    owners = accounts(spark, d).select(F.col("account_id").cast("string").alias("resource"), F.col("customer_id").alias("resource_owner"))
+    return P.with_tools(tool_requests(spark, d), tools(spark), owners, tool_lookups(spark, d), Teller)
+
+
+@query("ud2_stream", "SELECT conv_id * 1000 + turn AS turn_key, i - 1 AS part, string_split(text, ' ')[i] AS text, CAST(NULL AS VARCHAR) AS error FROM (SELECT *, unnest(range(1, len(string_split(text, ' ')) + 2)) AS i FROM conversations WHERE role = 'user')")
+def ud2_stream(spark, d):
+    turns = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_key"), "text")
+    return P.streamed(turns, "turn_key", "text", Echo)
+
 
 @query("ud2_llm_answers", "SELECT conv_id, turn, concat(string_split(text, ' ')[1], ' ', length(text)) AS answer, CAST(NULL AS VARCHAR) AS error FROM conversations WHERE role = 'user'")
 def ud2(spark, d):
