@@ -58,9 +58,19 @@ def st8(spark, d):
     return _run(spark, S.event_stream(spark, d).select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day")))
 
 
-@query("st1_state_machine")
+@query(
+    "st1_state_machine",
+    """WITH t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events),
+p AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN turn END) OVER b AS asked, max(CASE WHEN event_type IN ('click', 'error') THEN turn END) OVER b AS closed FROM t WINDOW b AS (PARTITION BY user_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+q AS (SELECT *, coalesce(asked > coalesce(closed, 0) AND turn - asked <= 3, false) AS pending, coalesce(asked > coalesce(closed, 0) AND turn - asked = 4, false) AS expires FROM p),
+s AS (SELECT *, CASE WHEN event_type = 'click' AND pending THEN 'executed create_dispute' WHEN event_type = 'error' AND pending THEN 'cancelled' WHEN expires THEN 'expired' END AS action,
+  CASE WHEN event_type = 'purchase' THEN 'WAITING_FOR_CONFIRMATION' WHEN event_type = 'click' AND pending THEN 'TOOL_EXECUTION' WHEN event_type = 'error' THEN 'INTERRUPTED' WHEN event_type = 'signup' THEN 'LISTENING' WHEN NOT pending THEN 'PROCESSING' END AS leads FROM q),
+l AS (SELECT *, coalesce(last_value(leads IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'READY') AS state FROM s),
+c AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY turn), 'READY') AS before FROM l)
+SELECT user_id, event_id, before AS from_state, state AS to_state, action FROM c WHERE before <> state OR action IS NOT NULL""",
+)
 def st1(spark, d):
-    """Changes of state and of the pending confirmation; compared with a plain loop in the tests."""
+    """Changes of state and of the pending confirmation; in the tests also compared with a plain loop."""
     return _run(spark, S.state_machine(S.event_stream(spark, d)), rocksdb=True)
 
 
@@ -73,6 +83,25 @@ def st2_timers(spark, d):
     return _run(spark, S.timed_sessions(S.event_stream(spark, d)), rocksdb=True)
 
 
+# What an event is to the confirmation dialogue (valid in both engines).
+ROLE = "CASE event_type WHEN 'purchase' THEN 'request' WHEN 'click' THEN 'answer' WHEN 'error' THEN 'interruption' ELSE 'other' END"
+
+
+@query(
+    "st5_pending_confirmations",
+    f"""WITH t AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, {ROLE} AS role, CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS resource, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS turn FROM events),
+last AS (SELECT user_id, max(turn) AS turn, max(ms) AS ms FROM t GROUP BY 1),
+c AS (SELECT r.user_id, r.event_id AS request_id, r.turn, r.ms, arg_min(e.event_id, e.turn) AS event_id, min(e.turn) AS e_turn, arg_min(e.ms, e.turn) AS e_ms, arg_min(e.role, e.turn) AS e_role FROM t r LEFT JOIN t e ON e.user_id = r.user_id AND e.turn > r.turn AND (e.role = 'interruption' OR (e.role IN ('request', 'answer') AND e.resource = r.resource)) WHERE r.role = 'request' GROUP BY 1, 2, 3, 4),
+o AS (SELECT c.*, coalesce(e_turn - c.turn <= 3 AND e_ms <= c.ms + 7200000, false) AS alive, l.turn > c.turn + 3 OR l.ms > c.ms + 7200000 OR c.ms + 7200000 <= (SELECT epoch_us(max(ts)) // 1000 - 600000 FROM events) AS over FROM c JOIN last l USING (user_id)),
+closed AS (SELECT user_id, request_id, CASE WHEN alive THEN event_id END AS event_id, CASE WHEN NOT alive THEN 'expired' WHEN e_role = 'answer' THEN 'executed' WHEN e_role = 'request' THEN 'superseded' ELSE 'cancelled' END AS outcome FROM o WHERE alive OR over)
+SELECT * FROM closed UNION ALL SELECT user_id, NULL, event_id, 'unmatched' FROM t WHERE role = 'answer' AND event_id NOT IN (SELECT event_id FROM closed WHERE outcome = 'executed')""",
+)
+def st5_pending(spark, d):
+    """Every confirmation request with how it ended, and answers that none was open for."""
+    stream = S.event_stream(spark, d).select("user_id", "event_id", "ts", F.expr(ROLE).alias("role"), (F.get_json_object("props", "$.k").cast("long") % 3).alias("resource"))
+    return _run(spark, S.pending_confirmations(stream), rocksdb=True)
+
+
 _NUMBER = "CASE stage " + " ".join(f"WHEN '{name}' THEN {i}" for i, (name, *_) in enumerate(STAGES)) + " END"
 _STATE = "CASE WHEN stage = 'TOOL_FAILED' THEN CASE WHEN failures > 1 THEN 'ESCALATING' ELSE 'FAILED' END WHEN stage = 'RESPONSE_READY' THEN CASE WHEN event = 'purchase' THEN 'WAITING_FOR_CONFIRMATION' END " + " ".join(f"WHEN stage = '{a}' THEN '{b}'" for a, b in S.STATE_OF.items()) + " END"
 

@@ -279,6 +279,84 @@ def state_machine(stream: DataFrame, expiry: int = 3) -> DataFrame:
     )
 
 
+class PendingConfirmations(StatefulProcessor):
+    """The open confirmation requests of a session, one per resource. Rows: ms, event_id, role (request,
+    answer, interruption or other), resource.
+
+    A request opens. An answer for its resource executes it; an interruption cancels all that are open;
+    another request for its resource supersedes it. It expires after ``turns`` further events of its session,
+    or ``ttl_ms`` in event time, by the next event or by a timer. An answer that finds no open request
+    (late, repeated or for something else) is unmatched. The turn counter goes with the last open request,
+    so a session without one leaves no state."""
+
+    def __init__(self, turns: int, ttl_ms: int):
+        self.turns, self.ttl = turns, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "resource long", "request_id long, turn long, ms long")
+        self.turn = handle.getValueState("turn", "turn long")
+
+    def _requests(self) -> dict:
+        return {k[0]: tuple(v) for k, v in self.open.iterator()} if self.open.exists() else {}
+
+    def _settle(self, before: dict, after: dict, turn: int) -> None:
+        """Write what changed; a timer for each time at which a request that is open now expires."""
+        for resource in before.keys() - after.keys():
+            self.open.removeKey((resource,))
+        for resource, request in after.items():
+            if before.get(resource) != request:
+                self.open.updateValue((resource,), request)
+        wanted, have = {ms + self.ttl for _, _, ms in after.values()}, set(self.handle.listTimers())
+        for ms in have - wanted:
+            self.handle.deleteTimer(ms)
+        for ms in wanted - have:
+            self.handle.registerTimer(ms)
+        if after:
+            self.turn.update((turn,))
+        else:
+            self.turn.clear()
+            self.open.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = self._requests()
+        open_, turn, out = dict(before), self.turn.get()[0] if self.turn.exists() else 0, []
+        for row in pd.concat(list(rows)).sort_values(["ms", "event_id"]).itertuples():
+            turn += 1
+            ms, event, resource = int(row.ms), int(row.event_id), int(row.resource)
+            for name, (request, asked, at) in sorted(open_.items()):
+                if turn - asked > self.turns or ms > at + self.ttl:
+                    out.append((key[0], request, None, "expired"))
+                    del open_[name]
+            if row.role == "interruption":
+                out += [(key[0], request, event, "cancelled") for request, _, _ in open_.values()]
+                open_ = {}
+            elif row.role in ("request", "answer"):
+                found = open_.pop(resource, None)
+                if found or row.role == "answer":
+                    out.append((key[0], found[0] if found else None, event, "unmatched" if not found else "executed" if row.role == "answer" else "superseded"))
+                if row.role == "request":
+                    open_[resource] = (event, turn, ms)
+        self._settle(before, open_, turn)
+        yield pd.DataFrame(out, columns=["user_id", "request_id", "event_id", "outcome"]).astype({"request_id": "Int64", "event_id": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, before = expiredTimerInfo.getExpiryTimeInMs(), self._requests()
+        gone = {k: v for k, v in before.items() if v[2] + self.ttl <= now}
+        self._settle(before, {k: v for k, v in before.items() if k not in gone}, self.turn.get()[0] if self.turn.exists() else 0)
+        yield pd.DataFrame([(key[0], request, None, "expired") for request, _, _ in gone.values()], columns=["user_id", "request_id", "event_id", "outcome"]).astype({"request_id": "Int64", "event_id": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def pending_confirmations(stream: DataFrame, turns: int = 3, ttl_minutes: int = 120) -> DataFrame:
+    """stream: user_id, event_id, ts, role, resource. One row per request that is no longer open, with the
+    event that closed it, and per unmatched answer. Needs the RocksDB provider."""
+    timed = stream.withWatermark("ts", WATERMARK).select("user_id", "event_id", "ts", "role", "resource", F.unix_millis("ts").alias("ms"))
+    return timed.groupBy("user_id").transformWithStateInPandas(PendingConfirmations(turns, ttl_minutes * 60_000), outputStructType="user_id long, request_id long, event_id long, outcome string", outputMode="Append", timeMode="EventTime")
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a stream over what there is, append to Parquet, and read the result."""
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
