@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 
@@ -60,7 +60,7 @@ class WordEncoder:
             self.ends = np.zeros(self.whole.get_vocab_size(with_added_tokens=True), bool)
             for token, i in self.whole.get_vocab(with_added_tokens=False).items():
                 self.ends[i] = token.endswith(suffix)
-            self.special = [t["content"][:2] for t in spec["added_tokens"]]
+            self.special = re.compile("|".join(sorted({re.escape(t["content"][:2]) for t in spec["added_tokens"]})) or r"(?!)")
             self.letters = byte_letters()
 
     def _by_whole(self, texts: list[str]) -> list[bytes]:
@@ -78,17 +78,14 @@ class WordEncoder:
 
     def _learn(self, fresh: list[str]) -> None:
         """Put these words into the memo."""
-        plain, cut, other = [], [], []
-        for w in fresh:
-            low = w.lower()
-            if _PLAIN.fullmatch(low) and not any(s in w for s in self.special):
-                plain.append(w)
-                cut.append(_PIECE.findall(low))
-            else:
-                other.append(w)
+        lower = list(map(str.lower, fresh))
+        fit, special = _PLAIN.fullmatch, self.special.search
+        fits = [fit(x) is not None and special(x) is None for x in lower]
+        plain, other = list(compress(fresh, fits)), [w for w, yes in zip(fresh, fits, strict=True) if not yes]
+        cut = list(map(_PIECE.findall, compress(lower, fits)))
         if len(self.pieces) > self.memo_words:
             self.pieces.clear()
-        unknown = list({p for ps in cut for p in ps} - self.pieces.keys())
+        unknown = list(set(chain.from_iterable(cut)) - self.pieces.keys())
         self.pieces.update(zip(unknown, self._by_model(unknown), strict=True))
         of = self.pieces
         self.words.update(zip(plain, [of[ps[0]] if len(ps) == 1 else b"".join([of[p] for p in ps]) for ps in cut], strict=True))
@@ -97,10 +94,31 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._by_whole(texts)
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.words) > self.memo_words:
             self.words = {"": b""}
-        if fresh := list(set(chain.from_iterable(cut)) - self.words.keys()):
-            self._learn(fresh)
-        of = self.words.__getitem__
-        return [b"".join(map(of, ws)) for ws in cut]
+        known, open_, out = self.words.get, [], []
+        for text in texts:
+            words = self._lowered(text).replace("\n", " ").split(" ")
+            ids = list(map(known, words))
+            if None in ids:
+                open_.append((len(out), ids, [i for i, x in enumerate(ids) if x is None], words))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        self._learn(list({words[i] for _, _, gaps, words in open_ for i in gaps}))
+        for place, ids, gaps, words in open_:
+            for i in gaps:
+                ids[i] = known(words[i])
+            out[place] = b"".join(ids)
+        return out
+
+    def _lowered(self, text: str) -> str:
+        """The text in lower case where that is the tokenizer's own lower case, character by character
+        (up to U+00FF), and where no special string can come of it."""
+        if self.special.search(text):
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
