@@ -96,3 +96,22 @@ def interrupted_outputs(played: DataFrame, spoken: DataFrame, bin_ms: int = 10_0
     o = overlaps(played, spoken, SESSION, bin_ms)
     heard = F.min(F.greatest(F.lit(0), F.col("r_start_ms") - F.col("l_start_ms")))
     return o.groupBy(F.col("l_turn_id").alias("turn_id")).agg(F.count("*").alias("overlaps"), F.sum("overlap_ms").alias("spoken_ms"), heard.alias("heard_ms"))
+
+
+#: Of KLL sketches with SKETCH_K: the quantile of p has a true rank within SKETCH_RANK_ERROR of p, in 99 % of cases.
+SKETCH_K, SKETCH_RANK_ERROR = 1000, 0.005
+
+
+def sketches(df: DataFrame, by: list[str], value: str, at: str) -> DataFrame:
+    """A quantile sketch per hour of ``at`` and group: by, hour, sketch, n. A sketch takes a few kilobytes
+    however many rows it has seen, and rows are sketched before the shuffle. Such rows are stored, appended
+    hour by hour, and merged for any longer time. Rows without a value don't count."""
+    hour = F.date_trunc("hour", F.col(at).cast("timestamp")).cast("timestamp_ntz").alias("hour")
+    return df.where(F.col(value).isNotNull()).groupBy(*by, hour).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH_K)).alias("sketch"), F.count("*").alias("n"))
+
+
+def merged_percentiles(stored: DataFrame, by: list[str], at: tuple[float, ...] = (0.5, 0.9, 0.95)) -> DataFrame:
+    """by, p50 and so on, n (of rows, from the sketches) and hours (sketches merged), from stored sketches."""
+    merged = stored.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.count("*").alias("hours"))
+    quantiles = [F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(f"p{round(p * 100)}") for p in at]
+    return merged.select(*by, *quantiles, F.kll_sketch_get_n_double("sketch").alias("n"), "hours")

@@ -8,6 +8,7 @@ from ledgerlens.operators import traces as T
 from ledgerlens.plans.decision_queries import SESSION_SQL, session_sql
 from ledgerlens.plans.registry import query
 from ledgerlens.sources.domain import trace, with_views
+from ledgerlens.sources.scratch import new_folder
 from ledgerlens.sources.tables import table
 from ledgerlens.sources.voice import OUTPUT_SQL, playback_and_speech, stage_sql, voice_stages
 
@@ -24,6 +25,25 @@ def ev11(spark, d):
     return T.percentiles(T.deltas(trace(spark, d)), ["event"], "delta_s")
 
 
+@query(
+    "ev11_sketched_percentiles",
+    trace_sql(DELTAS, "SELECT event, count(*) AS n, count(DISTINCT date_trunc('hour', ts)) AS hours, true AS p50_near, true AS p90_near, true AS p95_near FROM d WHERE delta_s IS NOT NULL GROUP BY event"),
+)
+def ev11_sketched(spark, d):
+    """Percentiles from sketches that were stored by hour and merged: whether the share of values below
+    each, counted exactly, is within twice the stated error; and that no row or hour was lost."""
+    path = new_folder(spark, "sketches")
+    values = T.deltas(trace(spark, d)).where("delta_s is not null").select("event", "ts", "delta_s")
+    T.sketches(values, ["event"], "delta_s", "ts").write.parquet(path)
+    found = T.merged_percentiles(spark.read.parquet(path), ["event"])
+    names = {"p50": 0.5, "p90": 0.9, "p95": 0.95}
+    ranks = values.join(F.broadcast(found), "event").groupBy("event", "n", "hours").agg(
+        *[F.avg((F.col("delta_s") < F.col(p)).cast("double")).alias(f"{p}_below") for p in names], *[F.avg((F.col("delta_s") <= F.col(p)).cast("double")).alias(f"{p}_to") for p in names]
+    )
+    most = 2 * T.SKETCH_RANK_ERROR
+    return ranks.select("event", "n", "hours", *[((F.col(f"{p}_below") <= x + most) & (F.col(f"{p}_to") >= x - most)).alias(f"{p}_near") for p, x in names.items()])
+
+
 @query("lt1_stage_latency", trace_sql("", f"SELECT event_id, round((epoch_us(nxt) - epoch_us(ts)) / 1e6, 3) AS latency_s FROM (SELECT *, first_value(CASE WHEN event = 'purchase' THEN ts END IGNORE NULLS) OVER (PARTITION BY user_id, session_no ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM trace) WHERE event = 'view'"))
 def lt1(spark, d):
     return T.next_event(trace(spark, d), "view", "purchase").select("event_id", "latency_s")

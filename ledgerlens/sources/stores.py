@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.sources.scenario_files import ScenarioFiles
+
 LOG_SCHEMA = "trace_id string, session_id string, turn_id string, event string, ts timestamp, tool string, duration_ms long, success boolean"
-SCENARIO_SCHEMA = "id string, initial_state struct<customer_id:string,authenticated:boolean>, user_goal string, conversation array<struct<user:string>>, expected struct<tools:array<string>,prohibited_tools:array<string>,final_outcome:string,must_not:array<string>>"
 LABEL_SCHEMA = "query string, expected_document string, expected_section string, acceptable_alternatives array<string>"
 
 
@@ -52,15 +51,12 @@ def write_audit(records: DataFrame, path: str) -> None:
     records.write.mode("append").parquet(path)
 
 
-def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """Scenario documents. JSON (one document a line) is read by Spark; YAML where its parser is installed."""
-    if not path.endswith((".yaml", ".yml")):
-        return spark.read.schema(SCENARIO_SCHEMA).json(path)
-    import yaml
-
-    texts = spark.read.text(path, wholetext=True).collect()  # scenario files are few and written by hand
-    rows = [json.dumps(x) for r in texts for x in yaml.safe_load_all(r["value"])]
-    return spark.createDataFrame([(r,) for r in rows], "value string").select(F.from_json("value", SCENARIO_SCHEMA).alias("s")).select("s.*")
+def read_scenarios(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Scenario documents of a file or folder, YAML or JSON lines, each file in a task of its own: path,
+    number, the scenario's fields, and error for documents that can't be read."""
+    spark.dataSource.register(ScenarioFiles)
+    reader = spark.read.format("scenarios")
+    return (reader if kind is None else reader.option("format", kind)).load(path)
 
 
 def read_retrieval_labels(spark: SparkSession, path: str) -> DataFrame:
