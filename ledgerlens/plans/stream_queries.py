@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.decisions import decide
+from ledgerlens.plans.decision_queries import decided_sql
 from ledgerlens.plans.registry import query
-from ledgerlens.sources.domain import with_views
+from ledgerlens.sources.domain import calls_of, tools, with_views
 from ledgerlens.sources.scratch import new_folder
+from ledgerlens.sources.tables import table
 from ledgerlens.sources.voice import STAGES, stage_sql, stage_stream
 from ledgerlens.streaming import sessions as S
+from ledgerlens.streaming import sinks as K
 
 CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
@@ -140,6 +144,34 @@ def st9_budget(spark, d):
     return _run(spark, S.budgets(stream, 2000), rocksdb=True)
 
 
+@query("io8_streamed_audit", decided_sql("SELECT call_id, customer_id, tool, resource, outcome FROM outcomes WHERE audited"))
+def io8_streamed(spark, d):
+    """Audited calls of a stream, decided and appended to their trail once a batch."""
+    folder = new_folder(spark, "audit-stream")
+    records = decide(calls_of(S.event_stream(spark, d)), tools(spark)).where("audited").select("call_id", "customer_id", "tool", "resource", "outcome")
+    K.append_once(records, f"{folder}/trail", f"{folder}/checkpoint")
+    return K.read_once(spark, f"{folder}/trail", "call_id long, customer_id long, tool string, resource long, outcome string")
+
+
+@query(
+    "st10_late_rows",
+    """WITH e AS (SELECT *, event_id % 4 AS part, time_bucket(INTERVAL 1 HOUR, ts) AS start_ts FROM events), w AS (SELECT p.part, (SELECT max(ts) FROM e WHERE e.part < p.part) - INTERVAL 10 MINUTE AS mark FROM (SELECT DISTINCT part FROM e) p)
+SELECT start_ts, event_type, count(*) FILTER (NOT late) AS in_time, count(*) FILTER (late) AS late FROM (SELECT e.*, coalesce(start_ts + INTERVAL 1 HOUR <= mark, false) AS late FROM e JOIN w USING (part)) GROUP BY 1, 2""",
+)
+def st10_late(spark, d):
+    """Events that come in four deliveries, each from all of the time: rows in time, and late ones, by hour."""
+    folder = new_folder(spark, "late-stream")
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in range(4):
+        events.where(F.col("event_id") % 4 == part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        K.windows_with_late_rows(stream, f"{folder}/out", f"{folder}/checkpoint", "event_type")
+    late = K.late_rows(spark, f"{folder}/out", "event_id long, ts timestamp, user_id long, event_type string")
+    both = K.window_counts(spark, f"{folder}/out", "event_type", "string").select("start_ts", "event_type", F.col("n").alias("in_time"), F.lit(0).cast("long").alias("late"))
+    both = both.unionByName(late.select(F.window("ts", "1 hour")["start"].alias("start_ts"), "event_type", F.lit(0).cast("long").alias("in_time"), F.lit(1).cast("long").alias("late")))
+    return both.groupBy(F.col("start_ts").cast("timestamp_ntz").alias("start_ts"), "event_type").agg(F.sum("in_time").alias("in_time"), F.sum("late").alias("late"))
+
+
 @query("st10_sliding", f"SELECT start_ts, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start_ts FROM events) GROUP BY 1, 2 HAVING start_ts + INTERVAL 1 HOUR <= {CLOSED}")
 def st10_sliding(spark, d):
     out = _run(spark, S.sliding_counts(S.event_stream(spark, d)))

@@ -105,7 +105,12 @@ def trace(spark: SparkSession, d: str) -> DataFrame:
 def calls(spark: SparkSession, d: str) -> DataFrame:
     """Tool calls: one per event. Every fifth user isn't authenticated; the resource belongs to
     another customer where k divides by 10; the request is confirmed where k is 50 or more."""
-    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return calls_of(table(spark, d, "events"))
+
+
+def calls_of(events: DataFrame) -> DataFrame:
+    """calls() of any events, a stream's too."""
+    e = events.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     return e.select(
         F.col("event_id").alias("call_id"),
         "ts",
