@@ -31,6 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_ngram_join": ngram_join.ORACLE_SQL,
         "op7_mixing": mixing.ORACLE_SQL,
         "op9_warc": warc_store.ORACLE_SQL,
-        "op12_alignment": alignment.op12_alignment,
         "op13_sharded_lloyd": sharded_lloyd.ORACLE_SQL,
     }
