@@ -132,6 +132,21 @@ def st6(spark, d):
     return S.merged_transcripts(S.transcript_stream(spark, d), f"{folder}/out", f"{folder}/checkpoint")
 
 
+@query(
+    "st6_utterances",
+    """WITH u AS (SELECT conv_id, turn AS utterance, text, conv_id * 60 + turn AS minute, turn % 5 <> 4 AS ends FROM conversations), m AS (SELECT max(minute + CASE WHEN ends THEN 2 ELSE 1 END) - 10 AS mark FROM u)
+SELECT conv_id, utterance, CASE WHEN ends THEN text ELSE substr(text, 1, length(text) // 2) END AS text, CAST(CASE WHEN ends THEN 3 ELSE 2 END AS BIGINT) AS rows, CASE WHEN ends THEN 'final' ELSE 'timeout' END AS closed_by FROM u, m WHERE ends OR minute + 1 + 30 <= mark""",
+)
+def st6_utterances(spark, d):
+    """Every turn as an utterance of two partials, a quarter and a half of it, and its final text, a minute
+    apart; every fifth turn's final text never comes."""
+    t = S.transcript_stream(spark, d)
+    part = lambda seq, of: F.struct(F.lit(seq).alias("seq"), F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / of).cast("int")).alias("text"), F.lit(False).alias("final"))
+    ends = F.when(F.col("turn") % 5 != 4, F.struct(F.lit(2).alias("seq"), F.col("text").alias("text"), F.lit(True).alias("final")))
+    heard = t.select("conv_id", F.col("turn").alias("utterance"), F.explode(F.array_compact(F.array(part(0, 4), part(1, 2), ends))).alias("p")).select("conv_id", "utterance", "p.*")
+    return _run(spark, S.utterances(heard.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("conv_id") * 60 + F.col("utterance") + F.col("seq")) * 60))), rocksdb=True)
+
+
 @query("st9_rate_windows", f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start_ts, user_id, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1 AND time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= {CLOSED}")
 def st9_rate(spark, d):
     out = _run(spark, S.rate_windows(S.event_stream(spark, d), 1))

@@ -357,6 +357,56 @@ def pending_confirmations(stream: DataFrame, turns: int = 3, ttl_minutes: int =
     return timed.groupBy("user_id").transformWithStateInPandas(PendingConfirmations(turns, ttl_minutes * 60_000), outputStructType="user_id long, request_id long, event_id long, outcome string", outputMode="Append", timeMode="EventTime")
 
 
+class Utterances(StatefulProcessor):
+    """Partial and final transcripts of an utterance. Rows: ms, seq, text, final. A partial with a greater
+    seq replaces the one before; the final row closes the utterance with its own text, whatever came before
+    it. Partials that come after it are dropped until a timer, ``timeout_ms`` after its latest row, forgets
+    the utterance. One without a final row is closed by that timer with its latest partial. Rows that come
+    together are read by seq, the final one last. Emits text, rows (read until then) and closed_by (final
+    or timeout)."""
+
+    def __init__(self, timeout_ms: int):
+        self.timeout = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", "seq long, text string, rows long, ms long, closed boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        seq, text, n, latest, closed = self.latest.get() if self.latest.exists() else (None, None, 0, None, False)
+        out = []
+        for row in pd.concat(list(rows)).sort_values(["final", "seq"]).itertuples():
+            latest = int(row.ms) if latest is None else max(latest, int(row.ms))
+            if closed:
+                continue
+            n += 1
+            if row.final:
+                out.append((*key, row.text, n, "final"))
+                closed, text = True, None
+            elif seq is None or row.seq > seq:
+                seq, text = int(row.seq), row.text
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.latest.update((seq, text, n, latest, closed))
+        self.handle.registerTimer(latest + self.timeout)
+        yield pd.DataFrame(out, columns=["conv_id", "utterance", "text", "rows", "closed_by"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        _, text, n, _, closed = self.latest.get()
+        self.latest.clear()
+        yield pd.DataFrame([] if closed else [(*key, text, n, "timeout")], columns=["conv_id", "utterance", "text", "rows", "closed_by"])
+
+    def close(self) -> None:
+        pass
+
+
+def utterances(stream: DataFrame, timeout_minutes: int = 30) -> DataFrame:
+    """stream: conv_id, utterance, ts, seq, text, final. One row per utterance that is closed. Needs the
+    RocksDB provider."""
+    timed = stream.withWatermark("ts", WATERMARK).select("conv_id", "utterance", "ts", "seq", "text", "final", F.unix_millis("ts").alias("ms"))
+    return timed.groupBy("conv_id", "utterance").transformWithStateInPandas(Utterances(timeout_minutes * 60_000), outputStructType="conv_id long, utterance long, text string, rows long, closed_by string", outputMode="Append", timeMode="EventTime")
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a stream over what there is, append to Parquet, and read the result."""
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
