@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import materialize, needed, text_or_empty
+from ledgerlens.llm.common import lowest, materialize, needed, text_or_empty
 from ledgerlens.llm.words import mixed, word_hashes
 from ledgerlens.sources.tables import table
 
@@ -71,14 +71,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_fe
     greatest counts; null labels and ids count for nothing. Without rows to learn from there are no
     weights and the bias is 0."""
     known = needed(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null")
-    chosen = (
+    known = (
         known.where(~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg((F.max(F.col("toxic").cast("int")) > 0).cast("int").alias("label"))
         .withColumn("place", F.xxhash64("doc_id"))
-        .orderBy("place", "doc_id")
-        .limit(max_train)
     )
+    chosen = lowest(known, "place", max_train, "doc_id")
     texts = needed(docs, "doc_id", "text").select("doc_id", text_or_empty(F.col("text")).alias("text"))
     # chosen has max_train rows at most
     rows = texts.join(F.broadcast(chosen), "doc_id").select("place", "label", F.xxhash64("text").alias("h"), "text")

@@ -234,7 +234,7 @@ def test_battery_equals_sql(spark, same_rows):
     same_rows(got, con.sql(secret_scan.ORACLE_SQL).df())
 
 
-def test_checks_confirm_what_the_base_rules_miss(spark):
+def test_trees_find_what_the_base_rules_miss(spark):
     planted = [("bank", "DE89 3704 0044 0532 0130 00"), ("bank", "GB82WEST12345698765432"), ("id", "123-45-6789"), ("email", "jo.doe (at) mail (dot) example (dot) com"), ("email", "jo[at]example.org"), ("card", "4111.1111.1111.1111"), ("phone", "(988) 555-2485")]
     fakes = ["DE89 3704 0044 0532 0130 01", "666-45-6789", "000-12-3456", "4111.1111.1111.1112", "meet (at) noon", "jo (at) home (dot) 5"]
     noise = [f"order {i} of 12-{i}-7 paid {i * 37} at u{i}@m.example.com" for i in range(1, 40)]
@@ -244,12 +244,53 @@ def test_checks_confirm_what_the_base_rules_miss(spark):
         got = {r.doc_id: r.spans for r in pii.pii(df).collect()}
         for i, (kind, x) in enumerate(planted[: len(some)]):
             assert got[i] == f"{kind}:4:{4 + len(x)}", (x, got[i])
-    for i, x in enumerate(fakes):
-        for s, k, e in pii.proposals(x, pii.base_spans(x)):
-            assert not pii.confirmed(x, k, s, e), (x, k, s, e)
+        if some is texts:
+            assert not any(got[len(planted) + i] for i in range(len(fakes))), [(x, got[len(planted) + i]) for i, x in enumerate(fakes)]
     assert {r.doc_id: r.text for r in pii.redacted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}[2] == "see [id] EUR now"
 
 
+#: Written by hand, with cue words that no planted context has: text, and the span that is personal data.
+CUED = [
+    ("you can reach us on {} after nine", "phone", "415-867-5309"), ("my cell is {}, thanks", "phone", "212.555.2345"), ("fax: {}", "phone", "503 555 0182"), ("please dial {} to speak to Ann", "phone", "020 7946 0958"),
+    ("whatsapp {} anytime", "phone", "0171 234 5678"), ("anrufen unter {} bitte", "phone", "030 1234 5678"), ("sms {}", "phone", "617-555-2368"), ("t\u00e9l\u00e9phone : {}", "phone", "06 12 34 56 78"), ("give me a ring: {}", "phone", "312.555.4821"), ("her handy {} is off", "phone", "917 555 7788"),
+    ("social: {}", "id", "123 45 6789"), ("her tin is {} I think", "id", "512 33 1874"), ("citizen {} moved away", "id", "219 09 9998"), ("insurance no {}", "id", "078051120"), ("itin {}", "id", "912-71-1234"),
+    ("kreditkarte {} bis 2027", "card", "4111.1111.1111.1111"), ("mastercard {}", "card", "5500.0055.5555.5559"), ("wire it to {} today", "bank", "de89 3704 0044 0532 0130 00"), ("compte {} merci", "bank", "GB82 WEST 1234 5698 7654 32"), ("reply to {} soon", "email", "jo (at) example (dot) org"),
+]
+UNCUED = [
+    "bestellung {} liegt bereit", "see pedido {} for more", "tracking {} was sent", "parcel {}", "the release {} is out", "rev {} of it", "isbn {}", "article {} costs more", "case {} closed", "lot {} arrived",
+]
+NUMBERS = ["415-867-5309", "212.555.2345", "503 555 0182", "020 7946 0958", "123 45 6789", "512331874", "06 12 34 56 78", "617-555-2368", "0171 234 5678"]
+
+
+def test_context_decides_where_format_cannot(spark):
+    """Hand-written contexts in words that planted ones don't have; the same numbers after other words aren't
+    personal data; the trees use what stands around."""
+    texts = [t.format(x) for t, _, x in CUED] + [t.format(x) for t in UNCUED for x in NUMBERS]
+    got = {r.doc_id: r.spans for r in pii.pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    missed = [texts[i] for i, (t, kind, x) in enumerate(CUED) if f"{kind}:{t.index('{')}:{t.index('{') + len(x)}" not in got[i].split(",")]
+    false = [(texts[i], got[i]) for i in range(len(CUED), len(texts)) if got[i]]
+    print("missed", missed, "false", false)
+    assert len(missed) <= 0.2 * len(CUED) and len(false) <= 0.1 * (len(texts) - len(CUED)), (missed, false)
+    r = random.Random(5)
+    high = lambda: f"{r.randint(2, 9)}{r.randint(0, 99):02d}"
+    plain = [f"{cue} {high()}-{high()}-{r.randint(0, 9999):04d} and so on" for cue in ("order ref", "call me at") for _ in range(150)]
+    got = {r.doc_id: r.spans for r in pii.pii(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")).collect()}
+    assert sum(bool(got[i]) for i in range(150)) < 15 and sum("phone" in got[i] for i in range(150, 300)) > 120
+    rows = spark.createDataFrame([], "label double, place long, start int, kind int, `end` int, free boolean, x array<double>")
+    weights = pii.learnt(rows)[0].featureImportances
+    assert sum(weights[pii.FEATURES.index(c)] for c in pii.CONTEXT) > 0.05
+
+
+def test_lowest_rows_are_the_lowest_and_few_are_sent(spark):
+    from ledgerlens.llm.common import lowest
+
+    df = spark.range(50_000).withColumn("place", F.xxhash64("id"))
+    want = [r.id for r in df.orderBy("place", "id").limit(300).collect()]
+    for parts in (10, 100):
+        assert [r.id for r in lowest(df.repartition(parts), "place", 300, "id").collect()] == want
+    assert lowest(df.where("id < 7"), "place", 300, "id").count() == 7 and lowest(df.limit(0), "place", 300).count() == 0
+
+
 def test_pii_long_runs_of_digits():
     """Zeros that int() refuses, and runs that a pattern must not scan again from each digit."""
     import time
