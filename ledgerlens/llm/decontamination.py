@@ -10,6 +10,9 @@ of many items doesn't pair its documents with all of them.
 For the pairs that are left the longest matches that don't overlap are marked again and again
 (Karp-Rabin hashes of any length from running sums), wherever they stand in either text, so passages
 count however they are reordered. A pair is a finding if tiles cover ``coverage`` of the item.
+
+An item of fewer than ``min_match`` words has one seed, its whole sequence of words, and is tiled with
+that length: a document that holds it anywhere is a finding.
 """
 
 from __future__ import annotations
@@ -97,8 +100,14 @@ def greedy_tiles(item: np.ndarray, doc: np.ndarray, min_match: int = MIN_MATCH)
         low, high = min_match, n
 
 
-def _seeds(rows: DataFrame, keys: list[str], wanted: np.ndarray | None, min_match: int) -> DataFrame:
-    """keys, n_words, and the hashes of min_match words in a row; only of wanted ones, if given."""
+def _sized(h: np.ndarray, n: int, min_match: int) -> np.ndarray:
+    """Hashes of n words; those of fewer than min_match scrambled again by their length."""
+    return h if n == min_match else mixed(h ^ np.uint64(n))
+
+
+def _seeds(rows: DataFrame, keys: list[str], wanted: np.ndarray | None, min_match: int, lengths: list[int] | None) -> DataFrame:
+    """keys, n_words, and the hashes of min_match words in a row; only of wanted ones, if given. Hashes
+    of runs of these lengths too, or, without lengths, of the whole of a text of fewer words."""
     shared = None if wanted is None else rows.sparkSession.sparkContext.broadcast(wanted)
     names = ", ".join(f"{k} {t}" for k, t in rows.select(*keys).dtypes)
 
@@ -111,7 +120,8 @@ def _seeds(rows: DataFrame, keys: list[str], wanted: np.ndarray | None, min_matc
             n, out = [], []
             for text in batch.column("text"):
                 words = word_hashes(text.as_py())
-                h = grams(words, min_match)
+                sizes = (min_match, *lengths) if lengths is not None else (max(1, min(min_match, len(words))),)
+                h = np.concatenate([_sized(grams(words, k), k, min_match) for k in sizes])
                 if sieve is not None:
                     h = h[sieve[h & np.uint64((1 << 24) - 1)]]
                     h = np.unique(h[np.isin(h, shared.value)]) if len(h) else h
@@ -140,13 +150,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """One row per document and benchmark item whose tiles cover at least coverage of the item:
     doc_id, item_id, item_words, tiled_words, coverage, n_tiles, longest_tile.
 
-    Null texts are empty and match nothing, nor do items of fewer than min_match words, which hold no
-    seed. Null ids are ids like others, and no id's value changes. Rows that repeat both id and text
+    Null texts are empty and match nothing, nor do items without words. Items of fewer than min_match words
+    match where all of them stand in a row. Null ids are ids like others, and no id's value changes. Rows that repeat both id and text
     are one document; a doc_id with several texts has the rows of each. Empty tables give no rows;
     further columns are ignored."""
     texts = needed(docs, "doc_id", "text").select("doc_id", text_or_empty(F.col("text")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     items = needed(benchmark, "item_id", "text").select("item_id", text_or_empty(F.col("text")).alias("text")).distinct().withColumn("item_hash", F.xxhash64("text"))
-    item_rows = materialize(_seeds(items, ["item_id", "item_hash"], None, min_match).withColumn("item", F.monotonically_increasing_id()), "tiling-items")
+    item_rows = materialize(_seeds(items, ["item_id", "item_hash"], None, min_match, None).withColumn("item", F.monotonically_increasing_id()), "tiling-items")
     places = item_rows.select("item", "n_words", F.posexplode("seeds").alias("pos", "seed"))
     common = places.groupBy("seed").agg(F.count_distinct("item").alias("held"))
     by_item = places.join(common, "seed").groupBy("item", "n_words").agg(F.sort_array(F.collect_list(F.struct("pos", "seed", "held"))).alias("places"))
@@ -154,9 +164,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     picked = by_item.select("item", "n_words", F.explode(F.arrays_zip("places", pick("places", "n_words").alias("leads"))).alias("p"))
     item_seeds = materialize(picked.select("item", "n_words", F.col("p.places.pos").alias("pos"), F.col("p.places.seed").alias("seed"), F.col("p.leads").alias("leads")), "tiling-seeds")
 
+    lengths = sorted(r["n_words"] for r in item_rows.where(F.col("n_words").between(1, min_match - 1)).select("n_words").distinct().collect())  # fewer than min_match rows
     few = item_seeds.select("seed").distinct().limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     wanted = np.array([r[0] for r in item_seeds.select("seed").distinct().collect()], np.int64).view(np.uint64) if few else None
-    doc_rows = _seeds(texts.select("doc_id", "text_hash", "text"), ["doc_id", "text_hash"], wanted, min_match).where(F.size("seeds") > 0)
+    doc_rows = _seeds(texts.select("doc_id", "text_hash", "text"), ["doc_id", "text_hash"], wanted, min_match, lengths).where(F.size("seeds") > 0)
     doc_rows = materialize(doc_rows.select("doc_id", "text_hash", F.array_distinct("seeds").alias("seeds")).distinct().withColumn("doc", F.monotonically_increasing_id()), "tiling-documents")
     doc_seeds = doc_rows.select("doc", F.explode("seeds").alias("seed"))
 
@@ -182,7 +193,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
             rows = []
             for doc, item in zip(batch.column("doc"), batch.column("item"), strict=True):
                 words = word_hashes(item.as_py())
-                tiles = greedy_tiles(words, word_hashes(doc.as_py()), min_match)
+                tiles = greedy_tiles(words, word_hashes(doc.as_py()), max(1, min(min_match, len(words))))
                 covered = sum(k for _, _, k in tiles)
                 rows.append((len(words), covered, covered / max(1, len(words)), len(tiles), max([k for _, _, k in tiles], default=0)))
             found = [pa.array([r[j] for r in rows], pa.float64() if j == 2 else pa.int64()) for j in range(5)]

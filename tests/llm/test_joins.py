@@ -214,6 +214,19 @@ def test_tiling_keeps_ids_and_pairs_of_common_phrases(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) >= 5
 
 
+def test_items_of_few_words_match_as_a_whole(spark):
+    """Items of 1 to 4 words against a plain search, beside longer ones, repeats, nulls and items without words."""
+    from tests.llm.conftest import passage
+
+    r, words = random.Random(3), ["ab", "cd", "ef", "gh", "ij"]
+    items = [(i, " ".join(r.choice(words) for _ in range(1 + i % 4))) for i in range(40)] + [(40, passage(5, 30)), (41, None), (42, " ,. "), (None, "Never Said"), (43, "ab ab ab ab ab")]
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 12)))) for i in range(60)] + [(60, f"x {items[40][1]} y"), (61, None), (62, passage(6, 20_000) + " IJ,\n gh"), (63, "ab " * 3000)]
+    got = {(x.doc_id, x.item_id): x.coverage for x in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    plain = lambda t: " " + " ".join(re.findall(r"[a-z0-9]+", (t or "").lower())) + " "
+    want = {(d, i) for d, t in docs for i, x in items if plain(x).strip() and plain(x) in plain(t)}
+    assert set(got) == want and set(got.values()) == {1.0} and len(want) > 100
+
+
 def test_toxicity(spark, docs, empty):
     import zlib
 
