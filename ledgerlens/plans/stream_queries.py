@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.decisions import decide
@@ -62,22 +63,38 @@ def st8(spark, d):
     return _run(spark, S.event_stream(spark, d).select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day")))
 
 
-@query(
-    "st1_state_machine",
-    """WITH t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events),
+_MACHINE = """WITH t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events),
 p AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN turn END) OVER b AS asked, max(CASE WHEN event_type IN ('click', 'error') THEN turn END) OVER b AS closed FROM t WINDOW b AS (PARTITION BY user_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 q AS (SELECT *, coalesce(asked > coalesce(closed, 0) AND turn - asked <= 3, false) AS pending, coalesce(asked > coalesce(closed, 0) AND turn - asked = 4, false) AS expires FROM p),
 s AS (SELECT *, CASE WHEN event_type = 'click' AND pending THEN 'executed create_dispute' WHEN event_type = 'error' AND pending THEN 'cancelled' WHEN expires THEN 'expired' END AS action,
   CASE WHEN event_type = 'purchase' THEN 'WAITING_FOR_CONFIRMATION' WHEN event_type = 'click' AND pending THEN 'TOOL_EXECUTION' WHEN event_type = 'error' THEN 'INTERRUPTED' WHEN event_type = 'signup' THEN 'LISTENING' WHEN NOT pending THEN 'PROCESSING' END AS leads FROM q),
 l AS (SELECT *, coalesce(last_value(leads IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'READY') AS state FROM s),
-c AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY turn), 'READY') AS before FROM l)
-SELECT user_id, event_id, before AS from_state, state AS to_state, action FROM c WHERE before <> state OR action IS NOT NULL""",
-)
+c AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY turn), 'READY') AS before FROM l)"""
+
+
+@query("st1_state_machine", f"{_MACHINE}\nSELECT user_id, event_id, before AS from_state, state AS to_state, action FROM c WHERE before <> state OR action IS NOT NULL")
 def st1(spark, d):
     """Changes of state and of the pending confirmation; in the tests also compared with a plain loop."""
     return _run(spark, S.state_machine(S.event_stream(spark, d)), rocksdb=True)
 
 
+@query("lt12_snapshot_replay", f"{_MACHINE}\nSELECT user_id, event_id, before AS from_state, state AS to_state, action, true AS in_replay, true AS in_record FROM c WHERE (before <> state OR action IS NOT NULL) AND turn > user_id % 7 + 1")
+def lt12_snapshot(spark, d):
+    """Sessions replayed from the store: the stored trace up to a turn that differs by user becomes a
+    snapshot, from which a new stream reads the rest; its changes beside those that were recorded."""
+    folder = new_folder(spark, "replay")
+    recorded = _run(spark, S.state_machine(S.event_stream(spark, d)), rocksdb=True)
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", turn.alias("turn")).write.parquet(f"{folder}/trace")
+    trace = spark.read.parquet(f"{folder}/trace")
+    cut = F.col("turn") <= F.col("user_id") % 7 + 1
+    S.snapshot(trace, recorded, cut).write.parquet(f"{folder}/snapshot")
+    rest = spark.readStream.schema(trace.schema).parquet(f"{folder}/trace").where(~cut)
+    replayed = _run(spark, S.state_machine(rest, start=spark.read.parquet(f"{folder}/snapshot")), rocksdb=True)
+    later = trace.where(~cut).select("user_id", "event_id")
+    return S.compared(replayed, recorded.join(later, ["user_id", "event_id"], "left_semi"))
+
+
 @query(
     "st2_session_timers",
     with_views("trace", f"SELECT user_id, epoch_us(min(ts)) // 1000 AS start_ms, epoch_us(max(ts)) // 1000 AS end_ms, count(*) AS n_events, 'inactivity' AS reason FROM trace GROUP BY user_id, session_no HAVING max(ts) + INTERVAL 30 MINUTE <= {CLOSED}"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -236,7 +236,8 @@ def without_repeats(stream: DataFrame, *keys: str) -> DataFrame:
 class SessionMachine(StatefulProcessor):
     """A session's state by key. A protected request opens a pending confirmation, which an
     affirmation within ``expiry`` turns executes, a cancellation or an interruption clears, and
-    further turns expire. Emits each change of state."""
+    further turns expire. Emits each change of state. A session that starts from a ``snapshot`` goes on
+    from there."""
 
     def __init__(self, expiry: int = 3):
         self.expiry = expiry
@@ -244,6 +245,10 @@ class SessionMachine(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("session", "state string, turn int, pending string, requested int")
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        row = initialState.astype(object).where(initialState.notna(), None).iloc[0]
+        self.state.update((row["state"], int(row["turn"]), row["pending"], None if row["requested"] is None else int(row["requested"])))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state, turn, pending, requested = self.state.get() if self.state.exists() else ("READY", 0, None, None)
         out = []
@@ -272,11 +277,36 @@ class SessionMachine(StatefulProcessor):
         pass
 
 
-def state_machine(stream: DataFrame, expiry: int = 3) -> DataFrame:
-    """Needs the RocksDB state store provider."""
-    return stream.groupBy("user_id").transformWithStateInPandas(
-        SessionMachine(expiry), outputStructType="user_id long, event_id long, from_state string, to_state string, action string", outputMode="Append", timeMode="None"
-    )
+CHANGES = "user_id long, event_id long, from_state string, to_state string, action string"
+
+
+def state_machine(stream: DataFrame, expiry: int = 3, start: DataFrame | None = None) -> DataFrame:
+    """Each change of state of each user; from where ``start``, a snapshot, has them, if given. Needs the
+    RocksDB state store provider."""
+    begun = None if start is None else start.groupBy("user_id")
+    return stream.groupBy("user_id").transformWithStateInPandas(SessionMachine(expiry), outputStructType=CHANGES, outputMode="Append", timeMode="None", initialState=begun)
+
+
+def snapshot(trace: DataFrame, changes: DataFrame, cut: Column, expiry: int = 3) -> DataFrame:
+    """Where the machine stood after the events of a stored trace for which ``cut`` holds: user_id, state,
+    turn, pending, requested. trace: user_id, event_id, event_type, turn (from 1 by user); cut holds of the
+    first turns of each user, all or none too (users without any aren't in the snapshot). changes: what the
+    machine recorded. The state is that of the latest change; a request is pending if nothing has closed it
+    since and it hasn't expired."""
+    kept = trace.where(cut)
+    c = changes.select(F.col("user_id").alias("_user"), F.col("event_id").alias("_event"), "to_state")
+    moved = kept.join(c, F.col("user_id").eqNullSafe(F.col("_user")) & F.col("event_id").eqNullSafe(F.col("_event")), "left")
+    latest = lambda *events: F.max(F.when(F.col("event_type").isin(*events), F.col("turn")))
+    at = moved.groupBy("user_id").agg(F.max("turn").alias("turn"), F.max_by("to_state", F.when(F.col("to_state").isNotNull(), F.col("turn"))).alias("state"), latest("purchase").alias("asked"), latest("click", "error").alias("closed"))
+    is_open = (F.col("asked") > F.coalesce("closed", F.lit(0))) & (F.col("turn") - F.col("asked") <= expiry)
+    return at.select("user_id", F.coalesce("state", F.lit("READY")).alias("state"), F.col("turn").cast("int").alias("turn"), F.when(is_open, "create_dispute").alias("pending"), F.when(is_open, F.col("asked")).cast("int").alias("requested"))
+
+
+def compared(replayed: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Changes of a replay and of the record, one row for both where they are equal in every column:
+    the columns of a change, in_replay and in_record."""
+    both = replayed.withColumn("r", F.lit(1)).unionByName(recorded.withColumn("r", F.lit(2)))
+    return both.groupBy(*replayed.columns).agg(F.max(F.col("r") == 1).alias("in_replay"), F.max(F.col("r") == 2).alias("in_record"))
 
 
 class PendingConfirmations(StatefulProcessor):
