@@ -86,18 +86,6 @@ def running(df: DataFrame, keys: list[str], order: list[str], amount: Column, na
     return df.withColumn(name, F.sum(amount).over(w))
 
 
-def concurrency(spans: DataFrame) -> DataFrame:
-    """Most spans (start_ts, end_ts) open at once, per hour (hour, most_open); a span counts in every
-    hour it touches. In an hour: a sweep over +1 and -1. A span that ends when another starts is closed
-    first. No window holds more than an hour's spans."""
-    hours = F.sequence(F.date_trunc("hour", F.col("start_ts").cast("timestamp")), F.date_trunc("hour", F.col("end_ts").cast("timestamp")), F.expr("INTERVAL 1 HOUR"))
-    cut = spans.select("start_ts", "end_ts", F.explode(hours).alias("hour")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
-    step = lambda at, n: cut.select("hour", F.col(at).alias("at"), F.lit(n).alias("step"))
-    w = Window.partitionBy("hour").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
-    open_ = step("start_ts", 1).unionByName(step("end_ts", -1)).withColumn("open", F.sum("step").over(w))
-    return open_.groupBy("hour").agg(F.max("open").cast("long").alias("most_open"))
-
-
 def rate_limited(df: DataFrame, key: str, seconds: int, most: int) -> DataFrame:
     """Rows that come when more than most rows of their key, themselves included, lie in the last
     seconds. Ties in time count together."""
@@ -136,3 +124,23 @@ def over_limits(df: DataFrame, limits: dict[str, float]) -> DataFrame:
     column's greatest allowed value."""
     found = F.array_compact(F.array(*[F.when(F.col(n) > most, F.lit(n)) for n, most in limits.items()]))
     return df.withColumn("exceeded", F.array_join(found, ",")).where("exceeded <> ''")
+
+
+def confirmation_chain(actions: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """Each execution in a log of what was done, with its fault; null where it had a valid confirmation.
+
+    actions: keys, ts, event_id, role (request, answer, execution), affirmed (of answers). An execution is
+    valid if, of its keys' actions, the last before it is an affirmative answer, at most that many seconds old,
+    and the one before that is the request. So a confirmation serves one execution. Nulls of affirmed refuse."""
+    w = Window.partitionBy(*keys).orderBy("ts", "event_id")
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    a = actions.withColumn("_role", F.lag("role").over(w)).withColumn("_asked", F.lag("role", 2).over(w)).withColumn("_yes", F.lag("affirmed").over(w)).withColumn("_at", F.lag("ts").over(w))
+    fault = (
+        F.when(F.col("_role").isNull(), "unasked")
+        .when(F.col("_role") == "execution", "reused")
+        .when(F.col("_role") == "request", "unanswered")
+        .when(~F.coalesce("_yes", F.lit(False)), "refused")
+        .when(F.coalesce(F.col("_asked") != "request", F.lit(True)), "unasked")
+        .when(us(F.col("ts")) - us(F.col("_at")) > seconds * 1_000_000, "expired")
+    )
+    return a.where("role = 'execution'").withColumn("fault", fault).select(*actions.columns, "fault")

@@ -40,6 +40,24 @@ def ranking_metrics(ranked: DataFrame, totals: DataFrame, k: int) -> DataFrame:
     )
 
 
+def labelled_metrics(ranked: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """ranked: query, document, rank; labels as ``read_retrieval_labels`` gives them, one a query. A document counts as a
+    hit if it is the expected one or an acceptable alternative. Shares of queries whose expected document, and
+    any acceptable one, is among the first k; recall@k (hits by all that are acceptable), MRR and top-1 by acceptable
+    documents. Queries without results are misses; labels without any document don't count."""
+    accepted = F.array_distinct(F.array_compact(F.concat(F.array("expected_document"), F.coalesce("acceptable_alternatives", F.array().cast("array<string>")))))
+    l = labels.withColumn("_accepted", accepted).where(F.size("_accepted") > 0)  # noqa: E741
+    pairs = l.select("query", "expected_document", F.explode("_accepted").alias("document"))
+    top = ranked.where(F.col("rank") <= k).groupBy("query", "document").agg(F.min("rank").alias("rank"))
+    hits = pairs.join(top, ["query", "document"]).groupBy("query").agg(F.count("*").alias("hits"), F.min("rank").alias("best"), F.max(F.col("document") == F.col("expected_document")).alias("exact"))
+    all_ = l.select("query", F.size("_accepted").alias("relevant")).join(hits, "query", "left")
+    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
+    return all_.agg(
+        share(F.col("exact")).alias("expected_found"), share(F.col("best").isNotNull()).alias("acceptable_found"), F.round(F.avg(ratio(F.coalesce("hits", F.lit(0)), F.col("relevant"))), 6).alias("recall_at_k"),
+        F.round(F.avg(F.coalesce(1.0 / F.col("best"), F.lit(0.0))), 6).alias("mrr"), share(F.col("best") == 1).alias("top1"), F.count("*").alias("queries"),
+    )
+
+
 def gate(baseline: DataFrame, candidate: DataFrame, fail_below: float = -0.02, review_cost: float = 0.2) -> DataFrame:
     """metric, value of two runs, compared: FAIL if quality falls by more than 2 points (or any
     unauthorized action appears), REVIEW if cost grows by more than 20 %, else PASS."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import decisions as D
 from ledgerlens.operators import metrics as M
 from ledgerlens.operators import traces as T
 from ledgerlens.plans.decision_queries import decided, decided_sql, session_sql
@@ -49,6 +50,24 @@ def ev5(spark, d):
     return M.rate(decided(spark, d).where("requires_confirmation"), F.col("confirmed") | (F.col("outcome") != "executed"), ["tool"])
 
 
+# What an event is in the log of protected actions (valid in both engines).
+CHAIN_ROLE = "CASE event WHEN 'purchase' THEN 'request' WHEN 'click' THEN 'answer' WHEN 'signup' THEN 'execution' END"
+
+
+@query(
+    "ev5_executed_without_confirmation",
+    with_views("trace", "").rstrip()
+    + f""", act AS (SELECT user_id, event_id, ts, {CHAIN_ROLE} AS role, k >= 30 AS affirmed FROM trace), chain AS (SELECT *, lag(role) OVER w AS r1, lag(role, 2) OVER w AS r2, lag(affirmed) OVER w AS yes, lag(ts) OVER w AS seen FROM act WHERE role IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT coalesce(fault, 'compliant') AS finding, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM (SELECT CASE WHEN r1 = 'answer' AND yes AND r2 = 'request' AND ts <= seen + INTERVAL 2 HOUR THEN NULL WHEN r1 = 'execution' THEN 'reused' WHEN r1 = 'request' THEN 'unanswered' WHEN r1 = 'answer' AND NOT coalesce(yes, false) THEN 'refused' WHEN r1 = 'answer' AND r2 = 'request' THEN 'expired' ELSE 'unasked' END AS fault FROM chain WHERE role = 'execution') GROUP BY 1""",
+)
+def ev5_executed(spark, d):
+    """What was executed, held against the confirmations in the log and not against decide(): the share of
+    executions with a valid confirmation, and of each way to lack one."""
+    log = trace(spark, d).select("user_id", "event_id", "ts", F.expr(CHAIN_ROLE).alias("role"), (F.col("k") >= 30).alias("affirmed")).where("role is not null")
+    found = D.confirmation_chain(log, ["user_id"], 7200).groupBy(F.coalesce("fault", F.lit("compliant")).alias("finding")).agg(F.count("*").alias("n"))
+    return found.join(F.broadcast(found.agg(F.sum("n").alias("_all"))), F.col("n") <= F.col("_all")).select("finding", "n", F.round(F.col("n") / F.col("_all"), 6).alias("share"))
+
+
 @query(
     "ev8_escalation_precision_recall",
     session_sql(

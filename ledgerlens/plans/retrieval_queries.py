@@ -10,6 +10,8 @@ from ledgerlens.operators import metrics as M
 from ledgerlens.operators import retrieval as R
 from ledgerlens.operators import vector_index as V
 from ledgerlens.plans.registry import query
+from ledgerlens.sources import stores
+from ledgerlens.sources.scratch import new_folder
 from ledgerlens.sources.tables import table
 
 LETTERS = "abcdefgh"
@@ -45,6 +47,15 @@ def rg3(spark, d):
     return R.chunks(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_md5"))
 
 
+@query(
+    "rg3_overlapping_chunks",
+    "SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, md5(substr(text, i * 150 + 1, 200)) AS chunk_md5 FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(greatest(length(text) - 50, 1) / 150.0) AS BIGINT))) AS i FROM documents WHERE length(text) > 0)",
+)
+def rg3_overlap(spark, d):
+    """Chunks of 200 characters, of which 50 are the end of the chunk before."""
+    return R.chunks(table(spark, d, "documents").select("doc_id", "text"), overlap=50).select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_md5"))
+
+
 @query("rg4_metadata", "SELECT lang AS policy_category, source AS title, CAST(sum(ceil(length(text) / 200.0)) AS BIGINT) AS chunks FROM documents GROUP BY 1, 2")
 def rg4(spark, d):
     c = R.chunks(table(spark, d, "documents").select("doc_id", "lang", "source", "text"))
@@ -114,6 +125,41 @@ def ev13(spark, d):
     return M.ranking_metrics(_hits(spark, d), totals, K)
 
 
+#: A query's labelled neighbours lie among this many ids after its own.
+SPAN = 40
+
+LABELLED = f"""near AS (SELECT q.vec_id AS query_id, list(i.vec_id ORDER BY i.vec_id)[:4] AS ids FROM embeddings q JOIN embeddings i ON q.vec_id % 100 = 0 AND q.label = i.label AND i.vec_id BETWEEN q.vec_id + 1 AND q.vec_id + {SPAN} GROUP BY 1),
+lab AS (SELECT CAST(query_id AS VARCHAR) AS query, CAST(ids[1] AS VARCHAR) AS expected_document, CAST(NULL AS VARCHAR) AS expected_section, list_transform(ids[2:], lambda x: CAST(x AS VARCHAR)) AS acceptable_alternatives FROM near)"""
+
+
+def retrieval_labels(spark, d):
+    """Labels in a file: for every hundredth vector, the next one of its label is expected and the three after that
+    are acceptable. Written as JSON lines and read back."""
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    q = e.where("vec_id % 100 = 0").select("vec_id", "label", F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + SPAN)).alias("item_id"))
+    near = q.join(e.select(F.col("vec_id").alias("item_id"), F.col("label").alias("item_label")), "item_id").where("label = item_label")
+    ids = near.groupBy("vec_id").agg(F.transform(F.slice(F.array_sort(F.collect_list("item_id")), 1, 4), lambda x: x.cast("string")).alias("ids"))
+    path = new_folder(spark, "labels")
+    ids.select(F.col("vec_id").cast("string").alias("query"), F.col("ids")[0].alias("expected_document"), F.lit(None).cast("string").alias("expected_section"), F.slice("ids", 2, 3).alias("acceptable_alternatives")).write.json(path)
+    return stores.read_retrieval_labels(spark, path)
+
+
+@query("io12_retrieval_labels", f"WITH {LABELLED} SELECT query, expected_document, expected_section, array_to_string(acceptable_alternatives, ',') AS alternatives FROM lab")
+def io12(spark, d):
+    return retrieval_labels(spark, d).select("query", "expected_document", "expected_section", F.array_join("acceptable_alternatives", ",").alias("alternatives"))
+
+
+@query(
+    "ev13_acceptable_alternatives",
+    f"""WITH {VECTORS}, {LABELLED}, best AS (SELECT query, min(rank) FILTER (CAST(item_id AS VARCHAR) = expected_document) AS expected, min(rank) FILTER (CAST(item_id AS VARCHAR) = expected_document OR list_contains(acceptable_alternatives, CAST(item_id AS VARCHAR))) AS best,
+  count(*) FILTER (CAST(item_id AS VARCHAR) = expected_document OR list_contains(acceptable_alternatives, CAST(item_id AS VARCHAR)))::DOUBLE / any_value(1 + len(acceptable_alternatives)) AS found FROM lab LEFT JOIN top ON query = CAST(query_id AS VARCHAR) GROUP BY query)
+SELECT round(avg(CASE WHEN expected IS NULL THEN 0e0 ELSE 1e0 END), 6) AS expected_found, round(avg(CASE WHEN best IS NULL THEN 0e0 ELSE 1e0 END), 6) AS acceptable_found, round(avg(found), 6) AS recall_at_k, round(avg(coalesce(1e0 / best, 0e0)), 6) AS mrr, round(avg(CASE WHEN best = 1 THEN 1e0 ELSE 0e0 END), 6) AS top1, count(*) AS queries FROM best""",
+)
+def ev13_alternatives(spark, d):
+    ranked = nearest(spark, d).select(F.col("query_id").cast("string").alias("query"), F.col("item_id").cast("string").alias("document"), "rank")
+    return M.labelled_metrics(ranked, retrieval_labels(spark, d), K)
+
+
 BM25 = r"""question AS (SELECT -1 - conv_id * 1000 - turn AS query_id, text FROM conversations WHERE role = 'user' AND conv_id % 100 = 0),
 qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM question), bag AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS b FROM documents),
 st AS (SELECT count(*)::DOUBLE AS n_docs, avg(len(b)) AS mean_len FROM bag), post AS (SELECT token, doc_id, len, count(*) AS tf FROM (SELECT doc_id, len(b) AS len, unnest(b) AS token FROM bag) WHERE token IN (SELECT token FROM qt) GROUP BY 1, 2, 3),

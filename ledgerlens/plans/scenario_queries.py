@@ -6,12 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import decisions as D
+from ledgerlens.operators import faults as X
 from ledgerlens.operators import metrics as M
 from ledgerlens.operators import scenarios as S
+from ledgerlens.operators import sweeps as W
 from ledgerlens.operators import traces as T
 from ledgerlens.plans.decision_queries import DECIDED, ERROR_OF_K, decided, decided_sql, session_sql
 from ledgerlens.plans.registry import query
-from ledgerlens.sources.domain import SQL, calls, trace, with_views
+from ledgerlens.sources.domain import SQL, calls, tools, trace, with_views
 from ledgerlens.sources.scenarios import SCENARIO_SQL, scenarios
 from ledgerlens.sources.tables import table
 
@@ -163,28 +165,27 @@ def handoffs(spark, d):
 
 
 # The seven limits of the default profile.
-LIMITS = {"duration_s": 3600, "turns": 3, "concurrent": 40, "llm_tokens": 150, "tool_retries": 1, "retrievals": 2, "inactivity_s": 1200}
+LIMITS = {"duration_s": 3600, "turns": 3, "concurrent": 3, "llm_tokens": 150, "tool_retries": 1, "retrievals": 2, "inactivity_s": 1200}
 
 
 @query(
     "pa15_seven_limits",
     with_views("trace", "").rstrip()
-    + """, s AS (SELECT user_id, session_no, min(ts) AS start_ts, max(ts) AS end_ts FROM trace GROUP BY 1, 2), step AS (SELECT user_id, session_no, date_trunc('hour', start_ts) AS hour, 1 AS n FROM s), busy AS (SELECT hour, count(*) AS concurrent FROM step GROUP BY 1),
+    + """, s AS (SELECT user_id, session_no, min(ts) AS start_ts, max(ts) AS end_ts FROM trace GROUP BY 1, 2), busy AS (SELECT event_id, sum(step) OVER (ORDER BY place, kind RANGE UNBOUNDED PRECEDING) AS concurrent FROM (SELECT NULL AS event_id, start_ts AS place, 0 AS kind, 1 AS step FROM s UNION ALL SELECT NULL, end_ts, 2, -1 FROM s UNION ALL SELECT event_id, ts, 1, 0 FROM trace)),
 r AS (SELECT event_id, (epoch_us(ts) - epoch_us(first_value(ts) OVER w)) / 1e6 AS duration_s, count(*) OVER w AS turns, sum(k) OVER w AS llm_tokens, sum(CASE WHEN event = 'error' THEN 1 ELSE 0 END) OVER w AS tool_retries, sum(CASE WHEN event = 'view' THEN 1 ELSE 0 END) OVER w AS retrievals,
-  coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, session_no ORDER BY ts, event_id))) / 1e6, 0) AS inactivity_s, concurrent FROM trace JOIN s USING (user_id, session_no) JOIN busy ON hour = date_trunc('hour', start_ts) WINDOW w AS (PARTITION BY user_id, session_no ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+  coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, session_no ORDER BY ts, event_id))) / 1e6, 0) AS inactivity_s, concurrent FROM trace JOIN busy USING (event_id) WINDOW w AS (PARTITION BY user_id, session_no ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
 SELECT * FROM (SELECT event_id, array_to_string(list_filter(["""
     + ", ".join(f"CASE WHEN {n} > {most} THEN '{n}' END" for n, most in LIMITS.items())
     + """], lambda x: x IS NOT NULL), ',') AS exceeded FROM r) WHERE exceeded <> ''""",
 )
 def pa15_seven(spark, d):
-    """Which of the seven limits an event exceeds. Concurrent sessions are those that start in one hour."""
+    """Which of the seven limits an event exceeds. Concurrent sessions are those open at its moment."""
     t = trace(spark, d)
     w = Window.partitionBy(*T.SESSION).orderBy("ts", "event_id")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     us = lambda c: F.unix_micros(c.cast("timestamp"))
-    starts = t.groupBy(*T.SESSION).agg(F.date_trunc("hour", F.min("ts").cast("timestamp")).alias("hour"))
-    busy = starts.groupBy("hour").agg(F.count("*").alias("concurrent"))
-    r = t.join(starts.join(busy, "hour").drop("hour"), T.SESSION).select(
+    busy = W.open_at(T.sessions(t), t.select(F.col("event_id").alias("id"), F.col("ts").alias("at"))).select(F.col("id").alias("event_id"), F.col("open").alias("concurrent"))
+    r = t.join(busy, "event_id").select(
         "event_id", "concurrent", ((us(F.col("ts")) - us(F.first("ts").over(so_far))) / 1e6).alias("duration_s"), F.count("*").over(so_far).alias("turns"), F.sum("k").over(so_far).alias("llm_tokens"),
         F.sum(F.when(F.col("event") == "error", 1).otherwise(0)).over(so_far).alias("tool_retries"), F.sum(F.when(F.col("event") == "view", 1).otherwise(0)).over(so_far).alias("retrievals"), F.coalesce((us(F.col("ts")) - us(F.lag("ts").over(w))) / 1e6, F.lit(0.0)).alias("inactivity_s"),
     )
@@ -206,8 +207,7 @@ def pa10_routes(spark, d):
     return failed.join(F.broadcast(spark.createDataFrame(ROUTES, "error string, action string, handler string")), "error", "left").select("call_id", "tool", "error", "action", "handler")
 
 
-# The nine injected faults.
-FAULTS = ["database_timeout", "tool_500", "retrieval_empty", "stt_timeout", "tts_timeout", "llm_timeout", "duplicate_tool_request", "stale_confirmation", "invalid_transaction_id"]
+FAULTS = [name for name, _, _ in X.FAULTS]
 _FAULT = "CASE k % 9 " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(FAULTS)) + " END"
 
 
@@ -218,6 +218,28 @@ def ev23_nine(spark, d):
     return M.rate(x.where("outcome <> 'executed'").withColumn("fault", F.expr(_FAULT)), F.col("after"), ["fault"], "recovered")
 
 
+_ENDS = "CASE fault_no " + " ".join(f"WHEN {i} THEN '{ends}'" for i, (_, _, ends) in enumerate(X.FAULTS)) + " END"
+_NAMES = "CASE fault_no " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(FAULTS)) + " END"
+
+
+@query(
+    "ev23_injected_faults",
+    decided_sql(
+        f""", reply AS (SELECT call_id, lead(ts) OVER w <= ts + INTERVAL 1 DAY AS answered, lead(confirmed) OVER w AS yes FROM call WINDOW w AS (PARTITION BY customer_id ORDER BY ts, call_id)), drawn AS (SELECT *, CAST('0x' || substr(md5(CAST(call_id AS VARCHAR)), 1, 8) AS BIGINT) AS n FROM outcomes),
+f AS (SELECT call_id, outcome, requires_confirmation, confirmed, fault, ends, fails, coalesce(answered, false) AS answered, coalesce(answered AND yes, false) AS yes FROM (SELECT *, {_NAMES} AS fault, {_ENDS} AS ends FROM (SELECT *, n // 10 % 9 AS fault_no, 1 + n // 90 % 4 AS fails FROM drawn WHERE n % 10 < 3)) JOIN reply USING (call_id) WHERE fault <> 'stale_confirmation' OR (coalesce(requires_confirmation, false) AND confirmed)),
+g AS (SELECT *, CASE WHEN ends = 'transient' THEN fails <= 2 WHEN ends = 'duplicate' THEN true WHEN fault = 'retrieval_empty' THEN answered WHEN fault = 'invalid_transaction_id' THEN answered OR outcome = 'denied' ELSE outcome <> 'executed' OR yes END AS ok FROM f)
+SELECT fault, count(*) AS n, round(avg(CASE WHEN ok THEN 1e0 ELSE 0e0 END), 6) AS recovered, CAST(sum(CASE WHEN ends = 'transient' THEN least(fails + 1, 3) WHEN ends = 'dialogue' AND NOT answered THEN 1 ELSE 2 END) AS BIGINT) AS attempts,
+count(*) FILTER (ends = 'transient' AND fails > 2) AS escalated, count(*) FILTER (ok AND outcome = 'executed') AS effects FROM g GROUP BY 1"""
+    ).replace("\n, reply", ", reply"),
+)
+def ev23_injected(spark, d):
+    """Faults injected into three tenths of the calls; a question is answered by the customer's next call within a day."""
+    c = calls(spark, d)
+    w = Window.partitionBy("customer_id").orderBy("ts", "call_id")
+    replies = c.select("call_id", "ts", F.lead("ts").over(w).alias("_next"), F.lead("confirmed").over(w).alias("reply_confirms")).where("_next <= ts + INTERVAL 1 DAY").select("call_id", "reply_confirms")
+    return X.recovery(X.attempts(X.inject(c, tools(spark)), replies, tools(spark)), decided(spark, d)).drop("doubled")
+
+
 @query(
     "ev24_seven_cards",
     scenario_sql(

@@ -9,6 +9,7 @@ from ledgerlens.operators import lookups as L
 from ledgerlens.operators import providers as P
 from ledgerlens.operators import scenarios as S
 from ledgerlens.operators import stages as V
+from ledgerlens.operators import sweeps as W
 from ledgerlens.sources import stores
 
 SCENARIO = "customer_id long, category string, expected array<string>, prohibited array<string>, asked array<string>, executed array<string>"
@@ -41,7 +42,7 @@ def test_an_answer_closes_its_request(spark):
 def test_sessions_count_in_every_hour_they_touch(spark):
     at = lambda h, m: datetime(2024, 1, 1, 0, 0) + timedelta(hours=h, minutes=m)
     spans = spark.createDataFrame([(at(22, 50), at(25, 10)), (at(24, 5), at(24, 20)), (at(24, 20), at(24, 30)), (at(23, 0), at(23, 0))], "start_ts timestamp_ntz, end_ts timestamp_ntz")
-    assert {r.hour.hour: r.most_open for r in D.concurrency(spans).collect()} == {22: 1, 23: 1, 0: 2, 1: 1}
+    assert {r.hour.hour: r.most_open for r in W.concurrency(spans).collect()} == {22: 1, 23: 1, 0: 2, 1: 1}
 
 
 def test_cases_and_disputes_are_opened_once(spark):
