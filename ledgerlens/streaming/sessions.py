@@ -112,11 +112,12 @@ def budgets(stream: DataFrame, cap: int) -> DataFrame:
 
 
 class SessionClock(StatefulProcessor):
-    """Ends sessions by inactivity and by maximum duration. A timer at the last event plus the gap ends a
+    """Ends sessions by inactivity and, where there is one, by maximum duration. Times are compared in
+    microseconds, as the events have them, and given in milliseconds. A timer at the last event plus the gap ends a
     session that nothing follows, and its state goes with it, so state doesn't outlive its session."""
 
-    def __init__(self, gap_ms: int, most_ms: int):
-        self.gap, self.most = gap_ms, most_ms
+    def __init__(self, gap_us: int, most_us: int | None):
+        self.gap, self.most = gap_us, most_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -125,24 +126,24 @@ class SessionClock(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         start, last, n = self.session.get() if self.session.exists() else (None, None, 0)
         out = []
-        for ms in sorted(int(x) for part in rows for x in part["ms"]):
-            if start is not None and ms - last >= self.gap:
-                out.append((key[0], start, last, n, "inactivity"))
+        for us in sorted(int(x) for part in rows for x in part["us"]):
+            if start is not None and us - last >= self.gap:
+                out.append((key[0], start // 1000, last // 1000, n, "inactivity"))
                 start, n = None, 0
-            elif start is not None and ms - start >= self.most:
-                out.append((key[0], start, last, n, "duration"))
+            elif start is not None and self.most is not None and us - start >= self.most:
+                out.append((key[0], start // 1000, last // 1000, n, "duration"))
                 start, n = None, 0
-            start, last, n = (ms if start is None else start), ms, n + 1
+            start, last, n = (us if start is None else start), us, n + 1
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.session.update((start, last, n))
-        self.handle.registerTimer(last + self.gap)
+        self.handle.registerTimer((last + self.gap) // 1000)
         yield pd.DataFrame(out, columns=["user_id", "start_ms", "end_ms", "n_events", "reason"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         start, last, n = self.session.get()
         self.session.clear()
-        yield pd.DataFrame([(key[0], start, last, n, "inactivity")], columns=["user_id", "start_ms", "end_ms", "n_events", "reason"])
+        yield pd.DataFrame([(key[0], start // 1000, last // 1000, n, "inactivity")], columns=["user_id", "start_ms", "end_ms", "n_events", "reason"])
 
     def close(self) -> None:
         pass
@@ -213,12 +214,12 @@ def voice_states(stages: DataFrame, gap_minutes: int = 30) -> DataFrame:
     )
 
 
-def timed_sessions(stream: DataFrame, gap_minutes: int = 30, most_minutes: int = 480) -> DataFrame:
-    """Ended sessions: user_id, start_ms, end_ms, n_events, reason. Needs the RocksDB provider."""
-    timed = stream.withWatermark("ts", WATERMARK).withColumn("ms", F.unix_millis("ts"))
-    return timed.groupBy("user_id").transformWithStateInPandas(
-        SessionClock(gap_minutes * 60_000, most_minutes * 60_000), outputStructType="user_id long, start_ms long, end_ms long, n_events long, reason string", outputMode="Append", timeMode="EventTime"
-    )
+def timed_sessions(stream: DataFrame, gap_minutes: int = 30, most_minutes: int | None = 480) -> DataFrame:
+    """Ended sessions: user_id, start_ms, end_ms, n_events, reason; of any duration if most_minutes is None. Needs
+    the RocksDB provider."""
+    timed = stream.withWatermark("ts", WATERMARK).select("user_id", "ts", F.unix_micros("ts").alias("us"))
+    clock = SessionClock(gap_minutes * 60_000_000, None if most_minutes is None else most_minutes * 60_000_000)
+    return timed.groupBy("user_id").transformWithStateInPandas(clock, outputStructType="user_id long, start_ms long, end_ms long, n_events long, reason string", outputMode="Append", timeMode="EventTime")
 
 
 def session_windows(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
