@@ -80,6 +80,14 @@ def merged_transcripts(stream: DataFrame, path: str, checkpoint: str) -> DataFra
     return changes.groupBy("conv_id", "role").agg(F.max_by("text", "revisions").alias("text"), F.max("revisions").alias("revisions"))
 
 
+def in_order(rows: Iterator[pd.DataFrame], by: tuple[str, ...], *more: str) -> list[tuple]:
+    """The rows of a key as tuples (by, more), sorted by ``by``, nulls last. Most keys have few rows: plain tuples
+    take a fraction of the time of a frame of their own."""
+    found = [r for part in rows for r in zip(*(part[c].tolist() for c in (*by, *more)), strict=True)]
+    gone = lambda x: x is None or x != x
+    return sorted(found, key=lambda r: [(True, 0) if gone(x) else (False, x) for x in r[: len(by)]])
+
+
 class Budget(StatefulProcessor):
     """A running sum by key: each event with what its key has spent, and whether that is over the cap. Fails
     closed: an event without an amount is denied. Rows of one key come in order of time within a batch."""
@@ -124,7 +132,8 @@ class SessionClock(StatefulProcessor):
         self.session = handle.getValueState("session", "start long, last long, events long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        start, last, n = self.session.get() if self.session.exists() else (None, None, 0)
+        known = self.session.get()
+        start, last, n = known or (None, None, 0)
         out = []
         for us in sorted(int(x) for part in rows for x in part["us"]):
             if start is not None and us - last >= self.gap:
@@ -134,11 +143,12 @@ class SessionClock(StatefulProcessor):
                 out.append((key[0], start // 1000, last // 1000, n, "duration"))
                 start, n = None, 0
             start, last, n = (us if start is None else start), us, n + 1
-        for timer in list(self.handle.listTimers()):
+        for timer in list(self.handle.listTimers()) if known else ():
             self.handle.deleteTimer(timer)
         self.session.update((start, last, n))
         self.handle.registerTimer((last + self.gap) // 1000)
-        yield pd.DataFrame(out, columns=["user_id", "start_ms", "end_ms", "n_events", "reason"])
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "start_ms", "end_ms", "n_events", "reason"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         start, last, n = self.session.get()
@@ -163,27 +173,29 @@ class VoiceMachine(StatefulProcessor):
         self.session = handle.getValueState("session", "state string, last long, turn long, failures int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state, last, turn, failures = self.session.get() if self.session.exists() else (None, None, None, 0)
+        known = self.session.get()
+        state, last, turn, failures = known or (None, None, None, 0)
         out = []
-        for row in pd.concat(list(rows)).sort_values(["at_ms", "turn_id", "no"]).itertuples():
-            if state is not None and row.at_ms - last >= self.gap:
+        for at_ms, turn_id, _, stage, event_type in in_order(rows, ("at_ms", "turn_id", "no"), "stage", "event_type"):
+            if state is not None and at_ms - last >= self.gap:
                 out.append((key[0], turn, "SESSION", state, "ENDED"))
                 state = None
             if state is None:
-                out += [(key[0], row.turn_id, "SESSION", "CREATED", "CONNECTING"), (key[0], row.turn_id, "SESSION", "CONNECTING", "READY")]
+                out += [(key[0], turn_id, "SESSION", "CREATED", "CONNECTING"), (key[0], turn_id, "SESSION", "CONNECTING", "READY")]
                 state, failures = "READY", 0
-            after = "WAITING_FOR_CONFIRMATION" if row.stage == "RESPONSE_READY" and row.event_type == "purchase" else STATE_OF.get(row.stage, state)
-            if row.stage == "TOOL_FAILED":
+            after = "WAITING_FOR_CONFIRMATION" if stage == "RESPONSE_READY" and event_type == "purchase" else STATE_OF.get(stage, state)
+            if stage == "TOOL_FAILED":
                 failures += 1
                 after = "ESCALATING" if failures > 1 else "FAILED"
             if after != state:
-                out.append((key[0], row.turn_id, row.stage, state, after))
-            state, last, turn = after, int(row.at_ms), int(row.turn_id)
-        for timer in list(self.handle.listTimers()):
+                out.append((key[0], turn_id, stage, state, after))
+            state, last, turn = after, int(at_ms), int(turn_id)
+        for timer in list(self.handle.listTimers()) if known else ():
             self.handle.deleteTimer(timer)
         self.session.update((state, last, turn, failures))
         self.handle.registerTimer(last + self.gap)
-        yield pd.DataFrame(out, columns=["user_id", "turn_id", "stage", "from_state", "to_state"])
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "turn_id", "stage", "from_state", "to_state"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state, _, turn, _ = self.session.get()
@@ -247,32 +259,33 @@ class SessionMachine(StatefulProcessor):
         self.state = handle.getValueState("session", "state string, turn int, pending string, requested int")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
-        row = initialState.astype(object).where(initialState.notna(), None).iloc[0]
-        self.state.update((row["state"], int(row["turn"]), row["pending"], None if row["requested"] is None else int(row["requested"])))
+        state, turn, pending, requested = (initialState[c].tolist()[0] for c in ("state", "turn", "pending", "requested"))
+        self.state.update((state, int(turn), None if pd.isna(pending) else pending, None if pd.isna(requested) else int(requested)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state, turn, pending, requested = self.state.get() if self.state.exists() else ("READY", 0, None, None)
+        state, turn, pending, requested = self.state.get() or ("READY", 0, None, None)
         out = []
-        for row in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+        for _, event_id, event_type in in_order(rows, ("ts", "event_id"), "event_type"):
             turn += 1
             action = None
             if pending is not None and turn - requested > self.expiry:
                 pending, requested, action = None, None, "expired"
             before = state
-            if row.event_type == "purchase":
+            if event_type == "purchase":
                 pending, requested, state = "create_dispute", turn, "WAITING_FOR_CONFIRMATION"
-            elif row.event_type == "click" and pending is not None:
+            elif event_type == "click" and pending is not None:
                 action, state, pending, requested = f"executed {pending}", "TOOL_EXECUTION", None, None
-            elif row.event_type == "error":
+            elif event_type == "error":
                 action, state, pending, requested = ("cancelled" if pending is not None else action), "INTERRUPTED", None, None
-            elif row.event_type == "signup":
+            elif event_type == "signup":
                 state = "LISTENING"
             elif pending is None:
                 state = "PROCESSING"
             if state != before or action:
-                out.append((key[0], int(row.event_id), before, state, action))
+                out.append((key[0], int(event_id), before, state, action))
         self.state.update((state, turn, pending, requested))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "from_state", "to_state", "action"])
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "from_state", "to_state", "action"])
 
     def close(self) -> None:
         pass
@@ -338,38 +351,40 @@ class PendingConfirmations(StatefulProcessor):
         for resource, request in after.items():
             if before.get(resource) != request:
                 self.open.updateValue((resource,), request)
-        wanted, have = {ms + self.ttl for _, _, ms in after.values()}, set(self.handle.listTimers())
+        wanted, have = {ms + self.ttl for _, _, ms in after.values()}, set(self.handle.listTimers()) if before else set()
         for ms in have - wanted:
             self.handle.deleteTimer(ms)
         for ms in wanted - have:
             self.handle.registerTimer(ms)
         if after:
             self.turn.update((turn,))
-        else:
+        elif before:
             self.turn.clear()
             self.open.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = self._requests()
-        open_, turn, out = dict(before), self.turn.get()[0] if self.turn.exists() else 0, []
-        for row in pd.concat(list(rows)).sort_values(["ms", "event_id"]).itertuples():
+        known = self.turn.get()  # there as long as a request is open
+        before = self._requests() if known else {}
+        open_, turn, out = dict(before), known[0] if known else 0, []
+        for ms, event, role, resource in in_order(rows, ("ms", "event_id"), "role", "resource"):
             turn += 1
-            ms, event, resource = int(row.ms), int(row.event_id), int(row.resource)
+            ms, event, resource = int(ms), int(event), int(resource)
             for name, (request, asked, at) in sorted(open_.items()):
                 if turn - asked > self.turns or ms > at + self.ttl:
                     out.append((key[0], request, None, "expired"))
                     del open_[name]
-            if row.role == "interruption":
+            if role == "interruption":
                 out += [(key[0], request, event, "cancelled") for request, _, _ in open_.values()]
                 open_ = {}
-            elif row.role in ("request", "answer"):
+            elif role in ("request", "answer"):
                 found = open_.pop(resource, None)
-                if found or row.role == "answer":
-                    out.append((key[0], found[0] if found else None, event, "unmatched" if not found else "executed" if row.role == "answer" else "superseded"))
-                if row.role == "request":
+                if found or role == "answer":
+                    out.append((key[0], found[0] if found else None, event, "unmatched" if not found else "executed" if role == "answer" else "superseded"))
+                if role == "request":
                     open_[resource] = (event, turn, ms)
         self._settle(before, open_, turn)
-        yield pd.DataFrame(out, columns=["user_id", "request_id", "event_id", "outcome"]).astype({"request_id": "Int64", "event_id": "Int64"})
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "request_id", "event_id", "outcome"]).astype({"request_id": "Int64", "event_id": "Int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now, before = expiredTimerInfo.getExpiryTimeInMs(), self._requests()
@@ -404,28 +419,30 @@ class Utterances(StatefulProcessor):
         self.latest = handle.getValueState("latest", "seq long, text string, rows long, ms long, closed boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        seq, text, n, latest, closed = self.latest.get() if self.latest.exists() else (None, None, 0, None, False)
+        seq, text, n, latest, closed = (known := self.latest.get()) or (None, None, 0, None, False)
         out = []
-        for row in pd.concat(list(rows)).sort_values(["final", "seq"]).itertuples():
-            latest = int(row.ms) if latest is None else max(latest, int(row.ms))
+        for final, order, ms, said in in_order(rows, ("final", "seq"), "ms", "text"):
+            latest = int(ms) if latest is None else max(latest, int(ms))
             if closed:
                 continue
             n += 1
-            if row.final:
-                out.append((*key, row.text, n, "final"))
+            if final:
+                out.append((*key, said, n, "final"))
                 closed, text = True, None
-            elif seq is None or row.seq > seq:
-                seq, text = int(row.seq), row.text
-        for timer in list(self.handle.listTimers()):
+            elif seq is None or order > seq:
+                seq, text = int(order), said
+        for timer in list(self.handle.listTimers()) if known else ():
             self.handle.deleteTimer(timer)
         self.latest.update((seq, text, n, latest, closed))
         self.handle.registerTimer(latest + self.timeout)
-        yield pd.DataFrame(out, columns=["conv_id", "utterance", "text", "rows", "closed_by"])
+        if out:
+            yield pd.DataFrame(out, columns=["conv_id", "utterance", "text", "rows", "closed_by"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         _, text, n, _, closed = self.latest.get()
         self.latest.clear()
-        yield pd.DataFrame([] if closed else [(*key, text, n, "timeout")], columns=["conv_id", "utterance", "text", "rows", "closed_by"])
+        if not closed:
+            yield pd.DataFrame([(*key, text, n, "timeout")], columns=["conv_id", "utterance", "text", "rows", "closed_by"])
 
     def close(self) -> None:
         pass
