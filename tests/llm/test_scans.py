@@ -281,6 +281,25 @@ def test_context_decides_where_format_cannot(spark):
     assert sum(weights[pii.FEATURES.index(c)] for c in pii.CONTEXT) > 0.05
 
 
+def test_trees_and_thresholds_learn_from_all_certain_proposals(spark):
+    """None of a table is left out however many there are, and the table's share in what is learnt stays
+    the same where all of it is there four times."""
+    n = len(pii.FEATURES)
+
+    def rows(times: int, each: int):
+        made = spark.range(each).select(F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("again"), "id")
+        x = F.array(F.lit(3.0), (F.col("id") % 23).cast("double"), *[((F.col("id") * 7 + i) % (3 + i)).cast("double") for i in range(2, n)])
+        last = F.array(*[F.lit(99.0)] * n)  # in the rows of the highest places alone
+        late = F.col("id") >= each - 8
+        return made.select(F.lit(0.0).alias("label"), (F.col("id") * 1_000 + F.col("id") % 4 + F.when(late, 2**62).otherwise(0)).cast("long").alias("place"), F.lit(0).alias("start"), F.lit(3).alias("kind"), F.lit(9).alias("end"), F.lit(True).alias("free"), F.when(late, last).otherwise(x).alias("x"))
+
+    _, held = pii.learnt(rows(1, 25_000), n_planted=50)
+    assert held.where("x[0] = 99").count() == 1
+    assert held.where("kind = 3 and label = 0 and x[0] in (3, 99)").agg(F.sum("weight")).first()[0] >= 25_000 / 4 / 2
+    trees = [pii.learnt(rows(times, 1_000), 500, n_planted=50)[0].toDebugString.split("\n", 1)[1] for times in (1, 4)]
+    assert trees[0] == trees[1]
+
+
 def test_lowest_rows_are_the_lowest_and_few_are_sent(spark):
     from ledgerlens.llm.common import lowest
 
