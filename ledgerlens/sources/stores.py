@@ -10,6 +10,7 @@ from ledgerlens.sources.scenario_files import ScenarioFiles
 
 LOG_SCHEMA = "trace_id string, session_id string, turn_id string, event string, ts timestamp, tool string, duration_ms long, success boolean"
 LABEL_SCHEMA = "query string, expected_document string, expected_section string, acceptable_alternatives array<string>"
+SCENARIOS_PER_FILE = 2000
 
 
 def write_chunks(chunks: DataFrame, path: str, category: str = "policy_category") -> None:
@@ -51,6 +52,11 @@ def write_audit(records: DataFrame, path: str) -> None:
     records.write.mode("append").parquet(path)
 
 
+def write_scenarios(documents: DataFrame, path: str, per_file: int = SCENARIOS_PER_FILE) -> None:
+    """Scenario documents (one column of text) in files of at most per_file, as a file is read by one task."""
+    documents.write.mode("append").option("maxRecordsPerFile", per_file).text(path)
+
+
 def read_scenarios(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """Scenario documents of a file or folder, YAML or JSON lines, each file in a task of its own: path,
     number, the scenario's fields, and error for documents that can't be read."""

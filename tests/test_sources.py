@@ -2,10 +2,12 @@
 
 import json
 import random
+import shutil
 
 import pytest
 
 from ledgerlens.operators import traces as T
+from ledgerlens.plans import store_queries
 from ledgerlens.sources import stores
 
 YAML = """id: SC-1
@@ -45,6 +47,21 @@ def test_scenario_files(spark, tmp_path):
     assert got["b.json", 0].expected.must_not == ["x"] and got["a.yaml", 3].initial_state is None
 
 
+def test_scenario_files_are_bounded_and_read_once(spark, data, tmp_path, monkeypatch):
+    """Written scenarios are dealt to files, so to tasks, of a bounded number of documents; io4 makes each
+    document's row once, however often its answer is asked for."""
+    stores.write_scenarios(spark.range(0, 95, 1, 2).selectExpr("concat('---\\nid: SC-', id) AS value"), str(tmp_path / "yaml"), 10)
+    df = stores.read_scenarios(spark, str(tmp_path / "yaml"), "yaml")
+    assert df.rdd.getNumPartitions() == 10 and df.groupBy("path").count().agg({"count": "max"}).first()[0] == 10
+    assert sorted(int(r.id[3:]) for r in df.collect()) == list(range(95))
+    folders = []
+    monkeypatch.setattr(store_queries, "new_folder", lambda spark, name: folders.append(f"{tmp_path}/{name}") or folders[-1])
+    out = store_queries.io4(spark, data)
+    assert "BatchScan" not in out._jdf.queryExecution().executedPlan().toString()
+    shutil.rmtree(f"{tmp_path}/scenarios")
+    assert out.count() == out.select("id").distinct().count() > 0
+
+
 def test_scenario_file_and_empty_folder(spark, tmp_path):
     (tmp_path / "x.txt").write_text("id: A\n---\nid: B\n")
     assert [r.id for r in stores.read_scenarios(spark, str(tmp_path / "x.txt"), "yaml").orderBy("number").collect()] == ["A", "B"]
