@@ -121,39 +121,53 @@ def budgets(stream: DataFrame, cap: int) -> DataFrame:
 
 class SessionClock(StatefulProcessor):
     """Ends sessions by inactivity and, where there is one, by maximum duration. Times are compared in
-    microseconds, as the events have them, and given in milliseconds. A timer at the last event plus the gap ends a
-    session that nothing follows, and its state goes with it, so state doesn't outlive its session."""
+    microseconds, as the events have them. Events and the sessions that are kept are merged in order of time, so
+    an event of a later batch may extend or join sessions before it. A session leaves once the watermark has passed
+    its last event plus the gap, also one that later events follow; one of maximum duration leaves at once. A
+    key has one timer, at the earliest end, and no state without a session."""
 
     def __init__(self, gap_us: int, most_us: int | None):
         self.gap, self.most = gap_us, most_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", "start long, last long, events long")
+        self.sessions = handle.getValueState("sessions", "sessions array<struct<start long, last long, events long>>")
+
+    def _due(self, session: tuple) -> int:
+        return (session[1] + self.gap) // 1000
+
+    def _frame(self, key, ended: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], start // 1000, last // 1000, n, reason, last) for start, last, n, reason in ended], columns=["user_id", "start_ms", "end_ms", "n_events", "reason", "end_us"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known = self.session.get()
-        start, last, n = known or (None, None, 0)
-        out = []
-        for us in sorted(int(x) for part in rows for x in part["us"]):
-            if start is not None and us - last >= self.gap:
-                out.append((key[0], start // 1000, last // 1000, n, "inactivity"))
-                start, n = None, 0
-            elif start is not None and self.most is not None and us - start >= self.most:
-                out.append((key[0], start // 1000, last // 1000, n, "duration"))
-                start, n = None, 0
-            start, last, n = (us if start is None else start), us, n + 1
-        for timer in list(self.handle.listTimers()) if known else ():
-            self.handle.deleteTimer(timer)
-        self.session.update((start, last, n))
-        self.handle.registerTimer((last + self.gap) // 1000)
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "start_ms", "end_ms", "n_events", "reason"])
+        known = self.sessions.get()
+        before = [tuple(s) for s in known[0]] if known else []
+        events = [(us, us, 1) for part in rows for us in part["us"].tolist()]
+        kept, ended = [], []
+        for start, last, n in sorted(before + events):
+            if kept and start - kept[-1][1] < self.gap:
+                if self.most is None or start - kept[-1][0] < self.most:
+                    kept[-1] = (kept[-1][0], max(kept[-1][1], last), kept[-1][2] + n)
+                    continue
+                ended.append((*kept.pop(), "duration"))
+            kept.append((start, last, n))
+        self.sessions.update((kept,))
+        if not before or self._due(before[0]) != self._due(kept[0]):
+            if before:
+                self.handle.deleteTimer(self._due(before[0]))
+            self.handle.registerTimer(self._due(kept[0]))
+        if ended:
+            yield self._frame(key, ended)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        start, last, n = self.session.get()
-        self.session.clear()
-        yield pd.DataFrame([(key[0], start // 1000, last // 1000, n, "inactivity")], columns=["user_id", "start_ms", "end_ms", "n_events", "reason"])
+        mark, kept = timerValues.getCurrentWatermarkInMs(), [tuple(s) for s in self.sessions.get()[0]]
+        open_ = [s for s in kept if self._due(s) > mark]
+        if open_:
+            self.sessions.update((open_,))
+            self.handle.registerTimer(self._due(open_[0]))
+        else:
+            self.sessions.clear()
+        yield self._frame(key, [(*s, "inactivity") for s in kept[: len(kept) - len(open_)]])
 
     def close(self) -> None:
         pass
@@ -227,11 +241,12 @@ def voice_states(stages: DataFrame, gap_minutes: int = 30) -> DataFrame:
 
 
 def timed_sessions(stream: DataFrame, gap_minutes: int = 30, most_minutes: int | None = 480) -> DataFrame:
-    """Ended sessions: user_id, start_ms, end_ms, n_events, reason; of any duration if most_minutes is None. Needs
-    the RocksDB provider."""
+    """Ended sessions: user_id, start_ms, end_ms, n_events, reason, end_us; of any duration if most_minutes is None. The
+    watermark is in whole milliseconds, so a session that ends within the watermark's millisecond is among them.
+    Needs the RocksDB provider."""
     timed = stream.withWatermark("ts", WATERMARK).select("user_id", "ts", F.unix_micros("ts").alias("us"))
     clock = SessionClock(gap_minutes * 60_000_000, None if most_minutes is None else most_minutes * 60_000_000)
-    return timed.groupBy("user_id").transformWithStateInPandas(clock, outputStructType="user_id long, start_ms long, end_ms long, n_events long, reason string", outputMode="Append", timeMode="EventTime")
+    return timed.groupBy("user_id").transformWithStateInPandas(clock, outputStructType="user_id long, start_ms long, end_ms long, n_events long, reason string, end_us long", outputMode="Append", timeMode="EventTime")
 
 
 def session_windows(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
